@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -56,9 +57,8 @@ def char_of(code: Column) -> Column:
 def decode_entities(text: Column | str) -> Column:
     """Resolve ``&name;``, ``&#n;`` and ``&#xh;``; unknown names stay as they are."""
     c = col(text)
-    table = F.map_from_arrays(
-        F.array(*[F.lit(k) for k in ENTITIES]), F.array(*[F.lit(v) for v in ENTITIES.values()])
-    )
+    # one literal, folded once when the query is planned
+    table = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")
 
     def piece(p: Column, i: Column) -> Column:
         name = F.regexp_extract(p, ENTITY, 1)

@@ -142,7 +142,7 @@ def split_column(
     def split(texts: pa.Array) -> pa.Array:
         offsets, content, starts, ends = [0], [], [], []
         for text in texts.to_pylist():
-            if text:
+            if text and text.strip(WS_CHARS):
                 for c, s, e in split_text(text, size, overlap, separators, keep_separator, length):
                     content.append(c)
                     starts.append(s)

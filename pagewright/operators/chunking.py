@@ -51,8 +51,7 @@ def chunk_documents(
     """
     keep = [c for c in docs.columns if c != text]
     arrays = (
-        docs.where(~is_blank(text))
-        .select(*keep, T.clean(text).alias("_clean"))
+        docs.select(*keep, T.clean(text).alias("_clean"))
         .select(
             *keep,
             split_column(
@@ -61,9 +60,11 @@ def chunk_documents(
         )
         .select(*keep, F.size("_chunks").alias("total_chunks"), "_chunks")
     )
+    # posexplode would make the optimizer filter on size(split(text)) > 0 below it,
+    # and so split every text twice; the outer form with a filter above does not.
     rows = arrays.select(
-        *keep, "total_chunks", F.posexplode("_chunks").alias("chunk_index", "_c")
-    ).select(
+        *keep, "total_chunks", F.posexplode_outer("_chunks").alias("chunk_index", "_c")
+    ).where(F.col("_c").isNotNull()).select(
         *keep,
         "chunk_index",
         "total_chunks",
