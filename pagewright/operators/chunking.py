@@ -42,10 +42,11 @@ def chunk_documents(
     separators: Sequence[str] = SEPARATORS,
     keep_separator: bool = False,
     length: Callable[[str], int] = len,
+    keep_empty: bool = False,
 ) -> DataFrame:
     """One row per chunk, with every column of ``docs`` but the text.
 
-    Blank documents give no rows. Offsets count from the cleaned text. Rows are
+    Blank documents give no rows, or with ``keep_empty`` one row without a chunk. Offsets count from the cleaned text. Rows are
     split where they are: there is no shuffle, and the layout of ``docs`` by
     its key carries over to the chunks.
     """
@@ -64,7 +65,8 @@ def chunk_documents(
     # and so split every text twice; the outer form with a filter above does not.
     rows = arrays.select(
         *keep, "total_chunks", F.posexplode_outer("_chunks").alias("chunk_index", "_c")
-    ).where(F.col("_c").isNotNull()).select(
+    )
+    rows = (rows if keep_empty else rows.where(F.col("_c").isNotNull())).select(
         *keep,
         "chunk_index",
         "total_chunks",

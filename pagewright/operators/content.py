@@ -216,7 +216,15 @@ def extract_content(pages: DataFrame, params: PageJobParams | None = None) -> Da
     """
     p = params or PageJobParams()
     html = F.col("html")
-    regions = content_regions(pages.select("page_id", "url", "html"))
+    # Facts of the whole page first. A page that fails a gate is not parsed.
+    facts = pages.select(
+        "page_id", "url", "html",
+        H.page_title("html", "url").alias("title"),
+        H.meta_content("html", "author").alias("_author"),
+        H.meta_content("html", "description").alias("_description"),
+        _before_error(p).alias("_gate"),
+    ).withColumn("html", F.when(F.col("_gate").isNull(), html))
+    regions = content_regions(facts)
     first = regions.withColumn("_p_html", _slice(html, F.col("primary.region"))).withColumn(
         "_p_text", H.strip_to_text("_p_html")
     )
@@ -252,17 +260,14 @@ def extract_content(pages: DataFrame, params: PageJobParams | None = None) -> Da
             "fallback_used": F.coalesce(~F.col("_ok") & F.col("_best").isNotNull(), F.lit(False)),
         }
     )
-    description = H.meta_content("html", "description")
     excerpt = H.excerpt("content_text")
     primary = F.col("_ok")
     return done.select(
-        "page_id", "url",
-        H.page_title("html", "url").alias("title"),
-        "content_html", "content_text", "method", "fallback_used",
-        F.when(primary, H.meta_content("html", "author")).otherwise("").alias("byline"),
-        F.when(primary & ~is_blank(description), description).otherwise(excerpt).alias("excerpt"),
+        "page_id", "url", "title", "content_html", "content_text", "method", "fallback_used",
+        F.when(primary, F.col("_author")).otherwise("").alias("byline"),
+        F.when(primary & ~is_blank("_description"), F.col("_description")).otherwise(excerpt).alias("excerpt"),
         H.read_time(F.length("content_text"), F.col("fallback_used")).cast("int").alias("read_time"),
-        _before_error(p).alias("_gate"),
+        "_gate",
     )
 
 
