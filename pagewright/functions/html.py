@@ -8,7 +8,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import EDGE_WS, NON_WS, WS, blank_to_null, col, count_matches, replace_all, trim_ws, warnings_of
+from .core import EDGE_WS, NON_WS, WS, col, count_matches, replace_all, trim_ws, warnings_of
 from .urls import host
 
 MAX_HTML = 50 * 1024 * 1024
@@ -60,24 +60,24 @@ def decode_entities(text: Column | str) -> Column:
     # one literal, folded once when the query is planned
     table = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")
 
-    def piece(p: Column, i: Column) -> Column:
-        name = F.regexp_extract(p, ENTITY, 1)
-        rest = F.substring(p, F.length(name) + 2, F.length(p))
-        decimal = F.regexp_extract(name, "^#([0-9]+)$", 1)
-        hexa = F.regexp_extract(name, "^#[xX]([0-9a-fA-F]+)$", 1)
-        value = (
-            F.when(decimal != "", char_of(decimal.cast("long")))
-            .when(hexa != "", char_of(F.conv(hexa, 16, 10).cast("long")))
-            .otherwise(F.element_at(table, name))
-        )
-        return (
-            F.when(i == 0, p)
-            .when((name == "") | value.isNull(), F.concat(F.lit("&"), p))
-            .otherwise(F.concat(value, rest))
-        )
-
+    def named(p: Column) -> Column:
+        return F.struct(p.alias("p"), F.regexp_extract(p, ENTITY, 1).alias("name"))
+
+    def valued(x: Column) -> Column:
+        name = x["name"]
+        digits = F.substring(name, 2, 10)
+        code = F.when(
+            digits.rlike("^[xX]"), F.conv(F.substring(digits, 2, 10), 16, 10)
+        ).otherwise(digits)
+        char = F.when(name.startswith("#"), char_of(code.cast("long"))).otherwise(F.element_at(table, name))
+        rest = F.substring(x["p"], F.length(name) + 2, F.length(x["p"]))
+        return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), x["p"]))
+
+    pieces = F.split(c, "&")
+    after_first = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(1)))
+    decoded = F.transform(F.transform(after_first, named), valued)
     return F.when(
-        c.contains("&"), F.array_join(F.transform(F.split(c, "&"), piece), "")
+        c.contains("&"), F.concat(F.element_at(pieces, 1), F.array_join(decoded, ""))
     ).otherwise(c)
 
 
@@ -120,23 +120,27 @@ def read_time(text_length: Column, fallback: Column) -> Column:
     return F.when(fallback, F.ceil(text_length / 1000.0)).otherwise(text_length).cast("long")
 
 
-def validity(html: Column | str) -> Column:
-    """Struct of validity, error, length, structure flags and warnings."""
+def html_error(html: Column | str) -> Column:
+    """Why html is not valid, NULL where it is."""
     c = F.coalesce(col(html), F.lit(""))
-    has_head, has_body = c.rlike(HAS_HEAD), c.rlike(HAS_BODY)
-    too_large = F.length(c) > MAX_HTML
-    blank = ~c.rlike(NON_WS)
-    error = (
+    return (
         F.when(col(html).isNull(), "HTML content must be a string")
-        .when(blank, "HTML content cannot be empty")
+        .when(~c.rlike(NON_WS), "HTML content cannot be empty")
         .when(
-            too_large,
+            F.length(c) > MAX_HTML,
             F.concat(
                 F.lit("HTML content too large: "), F.length(c).cast("string"),
                 F.lit(" bytes (max 50MB)"),
             ),
         )
     )
+
+
+def validity(html: Column | str) -> Column:
+    """Struct of validity, error, length, structure flags and warnings."""
+    c = F.coalesce(col(html), F.lit(""))
+    has_head, has_body = c.rlike(HAS_HEAD), c.rlike(HAS_BODY)
+    error = html_error(html)
     checked = error.isNull()
     return F.struct(
         checked.alias("valid"),
@@ -172,15 +176,23 @@ def element_count(html: Column | str) -> Column:
 
 def page_title(html: Column | str, url: Column | str) -> Column:
     """``<title>``, else the domain, else ``Unknown``."""
-    return F.coalesce(blank_to_null(title_tag(html)), blank_to_null(host(url)), F.lit("Unknown"))
+    return title_or_domain(title_tag(html), url)
+
+
+def title_or_domain(title: Column, url: Column | str) -> Column:
+    return F.coalesce(F.nullif(title, F.lit("")), F.nullif(host(url), F.lit("")), F.lit("Unknown"))
+
+
+def raw_attribute(tag: Column | str, name: str) -> Column:
+    """Value of an attribute of one raw tag as it is written; NULL where it is absent."""
+    rx = rf"""(?is)[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    value = F.regexp_extract(col(tag), rx, 1)
+    return F.regexp_replace(F.nullif(value, F.lit("")), "^[\"']|[\"']$", "")
 
 
 def attribute(tag: Column | str, name: str) -> Column:
-    """Value of an attribute of one raw tag, references resolved; NULL where it is absent."""
-    c = col(tag)
-    rx = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    value = F.concat(*[F.regexp_extract(c, rx, i) for i in (1, 2, 3)])
-    return F.when(c.rlike(rx), decode_entities(value))
+    """Value of an attribute with references resolved; NULL where it is absent."""
+    return decode_entities(raw_attribute(tag, name))
 
 
 def meta_content(html: Column | str, name: str) -> Column:

@@ -108,9 +108,9 @@ def content_type(s: Column) -> Column:
     )
 
 
-def readability(text: Column | str) -> Column:
+def readability(text: Column | str, words: Column | None = None) -> Column:
     c = col(text)
-    words = word_count(c)
+    words = word_count(c) if words is None else words
     sentences = F.size(F.filter(F.split(c, SENTENCE_END), lambda s: s.rlike(NON_WS)))
     characters = F.length(F.regexp_replace(c, WS, ""))
     return F.struct(
@@ -120,17 +120,17 @@ def readability(text: Column | str) -> Column:
     )
 
 
-def analysis(text: Column | str) -> Column:
+def analysis(text: Column | str, s: Column, words: Column) -> Column:
+    """Content metadata of a text from its structure ``s`` and word count ``words``."""
     c = col(text)
-    s = structure(c)
     return F.struct(
         F.length(c).cast("long").alias("length"),
-        word_count(c).alias("word_count"),
+        words.alias("word_count"),
         line_count(c).alias("line_count"),
         paragraph_count(c).alias("paragraph_count"),
         s.alias("structure"),
         content_type(s).alias("content_type"),
-        readability(c).alias("readability"),
+        readability(c, words).alias("readability"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -38,27 +40,32 @@ MIN_BLOCK = 25
 POINT_SHARES = (1.0, 0.5, 1.0 / 6)
 
 
-def _selector_rank(tag: Column, raw: Column) -> Column:
+def _selector_rank(tag: Column, classes: Column, ident: Column) -> Column:
     """Place of the first fallback selector an open tag matches, NULL for none."""
-    classes = F.concat(F.lit(" "), F.regexp_replace(H.attribute(raw, "class"), f"{WS}+", " "), F.lit(" "))
-    ident = H.attribute(raw, "id")
-    rank = F.lit(None).cast("int")
-    for i, sel in reversed(list(enumerate(FALLBACK_SELECTORS))):
-        if sel[0] == ".":
-            hit = raw.contains(sel[1:]) & classes.contains(f" {sel[1:]} ")
-        elif sel[0] == "#":
-            hit = raw.contains(sel[1:]) & (ident == sel[1:])
-        else:
-            hit = tag == sel
-        rank = F.when(F.coalesce(hit, F.lit(False)), F.lit(i)).otherwise(rank)
-    return rank
+    ranks = F.from_json(
+        F.lit(json.dumps({sel: i for i, sel in enumerate(FALLBACK_SELECTORS)})), "map<string,int>"
+    )
+    names = F.concat(
+        F.array(tag, F.concat(F.lit("#"), F.coalesce(ident, F.lit("")))),
+        F.transform(
+            F.split(F.coalesce(classes, F.lit("")), f"{WS}+"), lambda c: F.concat(F.lit("."), c)
+        ),
+    )
+    return F.array_min(F.transform(names, lambda n: F.element_at(ranks, n)))
 
 
 def _features(tokens: DataFrame) -> DataFrame:
     """Narrow token rows: no raw text goes through the window sorts."""
     raw, tag, opens = F.col("raw"), F.col("tag"), F.col("kind") == "open"
-    text = F.when(F.col("kind") == "text", F.regexp_replace(raw, f"{WS}+", " ")).otherwise("")
-    name = F.concat_ws(" ", H.attribute(raw, "class"), H.attribute(raw, "id"))
+    with_names = opens & raw.contains("=")
+    tokens = tokens.withColumns(
+        {
+            "_text": F.when(F.col("kind") == "text", F.regexp_replace(raw, f"{WS}+", " ")).otherwise(""),
+            "_class": F.when(with_names, H.raw_attribute(raw, "class")),
+            "_id": F.when(with_names, H.raw_attribute(raw, "id")),
+        }
+    )
+    text, name = F.col("_text"), F.concat_ws(" ", "_class", "_id")
     name_weight = F.when(
         opens & tag.isin(*CONTAINERS),
         F.when(name.rlike(BAD_NAME), -NAME_WEIGHT).otherwise(0)
@@ -69,7 +76,10 @@ def _features(tokens: DataFrame) -> DataFrame:
         F.length(raw).alias("size"),
         F.length(F.when(text.rlike(NON_WS), text).otherwise("")).alias("chars"),
         F.regexp_count(text, F.lit("[,，、]")).alias("commas"),
-        F.when(opens, _selector_rank(tag, raw)).alias("selector"),
+        F.when(
+            with_names | (opens & tag.isin(*FALLBACK_SELECTORS)),
+            _selector_rank(tag, F.col("_class"), F.col("_id")),
+        ).alias("selector"),
         name_weight.alias("name_weight"),
     )
 
@@ -86,27 +96,20 @@ def content_regions(pages: DataFrame) -> DataFrame:
     are added, and the share of text outside links scales the sum.
     """
     w = W.partitionBy("page_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy("page_id")
+    before = W.partitionBy("page_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     tokens = _features(tokenize(pages, carry=[c for c in pages.columns if c != "page_id"]))
     link = F.when(F.col("tag") == "a", F.col("kind"))
     is_open, is_close = F.col("kind") == "open", F.col("kind") == "close"
 
-    # Running offsets and text sizes, blocks between block tags, text inside links.
+    # Running offsets and text sizes, and text inside links.
     flat = tokens.select(
         "*",
         F.sum("size").over(w).alias("end"),
-        F.sum("size").over(whole).alias("page_size"),
-        F.sum(F.col("tag").isin(*BLOCK_TAGS).cast("int")).over(w).alias("block"),
+        F.sum("chars").over(w).alias("cum"),
         F.coalesce(F.last(link, ignorenulls=True).over(w) == "open", F.lit(False)).alias("in_link"),
     )
     link_chars = F.when(F.col("in_link"), F.col("chars")).otherwise(0)
-    flat = flat.select(
-        "*",
-        F.sum("chars").over(w).alias("cum"),
-        F.sum(link_chars).over(w).alias("cum_link"),
-        F.sum("chars").over(whole).alias("all_chars"),
-        F.sum(link_chars).over(whole).alias("all_link"),
-    )
+    flat = flat.withColumn("cum_link", F.sum(link_chars).over(w))
     paired = pair_tags(flat, ["end", "size", "cum", "cum_link"])
 
     # An unclosed body reaches to the page end; other unclosed boxes are not boxes.
@@ -115,21 +118,34 @@ def content_regions(pages: DataFrame) -> DataFrame:
     box = F.col("tag").isin(*CONTAINERS) & (matched | body_end)
     noise = F.col("tag").isin(*NOISE_TAGS) & matched
     step = F.when(is_open, 1).when(is_close, -1).otherwise(0)
+    box_step = F.when(box, step).otherwise(0)
     nested = paired.select(
         "*",
-        F.sum(F.when(box, step).otherwise(0)).over(w).alias("level"),
+        F.sum(box_step).over(w).alias("level"),
         F.sum(F.when(noise, step).otherwise(0)).over(w).alias("noise"),
         (box & is_open).alias("is_box"),
+        (F.col("tag").isin(*BLOCK_TAGS) | F.lead("pos").over(W.partitionBy("page_id").orderBy("pos")).isNull()).alias("ends"),
     )
 
-    # Size and commas of each block of text, kept on its first text token.
-    is_text = (F.col("chars") > 0) & (F.col("noise") == 0) & (F.col("level") > 0)
-    in_block = W.partitionBy("page_id", "block", is_text)
-    chars, commas = F.sum("chars").over(in_block), F.sum("commas").over(in_block)
-    first = F.row_number().over(in_block.orderBy("pos")) == 1
-    points = 1 + commas + F.least(F.floor(chars / 100), F.lit(3))
-    sized = nested.withColumn(
-        "points", F.when(is_text & first & (chars >= MIN_BLOCK), points.cast("double"))
+    # A block tag, or the last token, ends the block of text before it. What the
+    # block holds is the difference of running sums since the block tag before.
+    heard = (F.col("noise") == 0) & (F.col("level") > 0)
+    summed = nested.select(
+        "*",
+        (F.col("level") - box_step).alias("block_level"),
+        F.sum(F.when(heard, F.col("chars")).otherwise(0)).over(w).alias("heard"),
+        F.sum(F.when(heard, F.col("commas")).otherwise(0)).over(w).alias("heard_commas"),
+    )
+
+    def since(c: str) -> Column:
+        return F.col(c) - F.coalesce(
+            F.last(F.when(F.col("ends"), F.col(c)), ignorenulls=True).over(before), F.lit(0)
+        )
+
+    sized = summed.select("*", since("heard").alias("block_chars"), since("heard_commas").alias("block_commas"))
+    points = 1 + F.col("block_commas") + F.least(F.floor(F.col("block_chars") / 100), F.lit(3))
+    sized = sized.withColumn(
+        "points", F.when(F.col("ends") & (F.col("block_chars") >= MIN_BLOCK), points.cast("double"))
     )
 
     # One stream of events. A box is an event on its own level. A block is an event
@@ -139,9 +155,9 @@ def content_regions(pages: DataFrame) -> DataFrame:
     def event(role: str, level: Column, value: Column) -> Column:
         return F.struct(F.lit(role).alias("role"), level.cast("int").alias("level"), value.alias("value"))
 
-    level = F.col("level")
+    level, around = F.col("level"), F.col("block_level")
     blocks = [
-        F.when(F.col("points").isNotNull() & (level > up), event("block", level - up, F.col("points") * share))
+        F.when(F.col("points").isNotNull() & (around > up), event("block", around - up, F.col("points") * share))
         for up, share in enumerate(POINT_SHARES)
     ]
     events = F.array_compact(
@@ -154,10 +170,10 @@ def content_regions(pages: DataFrame) -> DataFrame:
     )
     region = F.struct(
         F.col("end").cast("int").alias("region_start"),
-        F.coalesce(F.col("mate_end") - F.col("mate_size"), F.col("page_size")).cast("int").alias("region_end"),
+        F.coalesce(F.col("mate_end") - F.col("mate_size"), F.lit(H.MAX_HTML)).cast("int").alias("region_end"),
     )
-    box_chars = F.coalesce("mate_cum", "all_chars") - F.col("cum")
-    box_link = F.coalesce("mate_cum_link", "all_link") - F.col("cum_link")
+    # NULL for an unclosed body, whose link share counts as 0
+    box_chars, box_link = F.col("mate_cum") - F.col("cum"), F.col("mate_cum_link") - F.col("cum_link")
     weight = F.lit(0)
     for tag, value in TAG_WEIGHT.items():
         weight = F.when(F.col("tag") == tag, value).otherwise(weight)
@@ -168,7 +184,9 @@ def content_regions(pages: DataFrame) -> DataFrame:
         F.when(box_chars > 0, box_link / box_chars).otherwise(0.0).alias("density"),
     )
     stream = sized.select(
-        "page_id", "pos", "page", "selector", facts.alias("facts"), F.explode_outer(events).alias("e")
+        "page_id", "pos", "page", "selector", facts.alias("facts"), events.alias("events")
+    ).select(
+        "page_id", "pos", "page", "selector", "facts", F.explode_outer("events").alias("e")
     ).where(F.col("e").isNotNull()).select("page_id", "pos", "page", "selector", "facts", "e.*")
     is_box_event = F.col("role") == "box"
     on_level = (
@@ -219,10 +237,16 @@ def extract_content(pages: DataFrame, params: PageJobParams | None = None) -> Da
     # Facts of the whole page first. A page that fails a gate is not parsed.
     facts = pages.select(
         "page_id", "url", "html",
-        H.page_title("html", "url").alias("title"),
+        H.title_tag("html").alias("_title"),
         H.meta_content("html", "author").alias("_author"),
         H.meta_content("html", "description").alias("_description"),
-        _before_error(p).alias("_gate"),
+        F.length(H.body_text("html")).alias("_body"),
+    ).select(
+        "page_id", "url",
+        H.title_or_domain(F.col("_title"), F.col("url")).alias("title"),
+        "_author", "_description",
+        _before_error(p, F.col("_body")).alias("_gate"),
+        "html",
     ).withColumn("html", F.when(F.col("_gate").isNull(), html))
     regions = content_regions(facts)
     first = regions.withColumn("_p_html", _slice(html, F.col("primary.region"))).withColumn(
@@ -276,10 +300,9 @@ def _gate(stage: str, message: Column | str) -> Column:
     return F.struct(F.lit(stage).alias("stage"), text.alias("message"))
 
 
-def _before_error(p: PageJobParams) -> Column:
-    """Why a page is not parsed: it is invalid or its body holds too little text."""
-    error = H.validity("html")["error"]
-    n = F.length(H.body_text("html"))
+def _before_error(p: PageJobParams, n: Column) -> Column:
+    """Why a page is not parsed: it is invalid or its body text, ``n`` characters, is too short."""
+    error = H.html_error("html")
     return F.when(
         error.isNotNull(),
         _gate("parsing", F.concat(F.lit("HTML parsing failed: HTML validation failed: "), error)),

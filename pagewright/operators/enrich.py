@@ -96,17 +96,19 @@ def enrich(
     base = custom if custom is not None else F.create_map().cast("map<string,string>")
     # Text that cannot be analysed keeps its row; the reason goes to processing.error.
     failed = F.col("content").isNull()
-    rows = chunks.withColumns(
+    # The counts come first, as columns, so that what is built from them reuses them.
+    counted = chunks.withColumns({"_structure": T.structure("content"), "_words": T.word_count("content")})
+    rows = counted.withColumns(
         {
             "chunk_id": T.chunk_id("url", "chunk_index", F.coalesce("content", F.lit(""))),
             "source": source_metadata(chunks, crawled_at),
             "processing": processing_metadata(chunks, method, size, overlap).withField(
                 "error", F.when(failed, "content must be a string")
             ),
-            "content_meta": F.when(~failed, T.analysis("content")),
+            "content_meta": F.when(~failed, T.analysis("content", F.col("_structure"), F.col("_words"))),
             "custom": apply_enrichers(base, enrichers),
         }
-    )
+    ).drop("_structure", "_words")
     return limit_metadata(rows, max_metadata_size)
 
 

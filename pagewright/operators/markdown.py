@@ -69,9 +69,9 @@ def _titled(url: Column, title: Column) -> Column:
 
 
 def _image(raw: Column) -> Column:
-    src = H.attribute(raw, "src")
-    alt = F.coalesce(H.attribute(raw, "alt"), F.lit(""))
-    image = F.concat(F.lit("!["), alt, _titled(src, H.attribute(raw, "title")))
+    src = H.raw_attribute(raw, "src")
+    alt = F.coalesce(H.raw_attribute(raw, "alt"), F.lit(""))
+    image = F.concat(F.lit("!["), alt, _titled(src, H.raw_attribute(raw, "title")))
     return F.when(F.coalesce(src, F.lit("")) != "", image).otherwise("")
 
 
@@ -80,8 +80,7 @@ def _fragment() -> Column:
     tag, matched = F.col("tag"), F.col("mate").isNotNull()
     opens, closes = F.col("kind") == "open", F.col("kind") == "close"
     pre = F.col("pre_depth") > 0
-    link = F.coalesce("link", "mate_link")
-    has_href = F.coalesce(link["href"], F.lit("")) != ""
+    has_href = F.coalesce("href", "mate_href", F.lit("")) != ""
 
     def both(first: str, second: str) -> Column:
         return F.when(opens, first).otherwise(second)
@@ -100,12 +99,12 @@ def _fragment() -> Column:
         F.when(F.col("kind") == "text", _text(F.col("raw"), pre, F.col("code_depth") > 0))
         .when(tag == "br", F.when(pre, NEWLINE).otherwise(BREAK + "\n"))
         .when(tag == "hr", "\n\n---\n\n")
-        .when(tag == "img", F.col("image"))
+        .when(tag == "img", F.col("target"))
         .when(tag == "input", F.col("checkbox"))
         .when((tag == "pre") & matched & opens, fence)
         .when((tag == "pre") & matched & closes, f"{CODE_END}\n```\n\n")
         .when((tag == "code") & matched, F.when(pre, "").otherwise("`"))
-        .when((tag == "a") & matched & has_href, F.when(opens, "[").otherwise(_titled(link["href"], link["title"])))
+        .when((tag == "a") & matched & has_href, F.when(opens, "[").otherwise(F.col("mate_target")))
         .when(tag.isin(*STRONG_TAGS) & matched & ~pre, both(STRONG, STRONG_END))
         .when(tag.isin(*EM_TAGS) & matched & ~pre, both(EM, EM_END))
         .when(tag.isin(*STRIKE_TAGS) & matched & ~pre, "~")
@@ -137,11 +136,16 @@ def fragments(tokens: DataFrame) -> DataFrame:
         F.when(F.col("kind") == "text", raw).alias("raw"),
         F.when(
             opens & (tag == "a"),
-            F.struct(H.attribute(raw, "href").alias("href"), H.attribute(raw, "title").alias("title")),
-        ).alias("link"),
-        F.when(tag == "img", _image(raw)).alias("image"),
+            H.raw_attribute(raw, "href"),
+        ).alias("href"),
+        # what an image or the end of a link writes, references resolved
+        H.decode_entities(
+            F.when(tag == "img", _image(raw)).when(
+                opens & (tag == "a"), _titled(H.raw_attribute(raw, "href"), H.raw_attribute(raw, "title"))
+            )
+        ).alias("target"),
         F.when(
-            (tag == "input") & (H.attribute(raw, "type") == "checkbox"),
+            (tag == "input") & (H.raw_attribute(raw, "type") == "checkbox"),
             F.when(raw.rlike(r"(?i)\schecked\b"), "[x] ").otherwise("[ ] "),
         ).otherwise("").alias("checkbox"),
     ).select(
@@ -150,7 +154,7 @@ def fragments(tokens: DataFrame) -> DataFrame:
         F.sum((opens & (tag == "td")).cast("int")).over(w).alias("tds"),
         F.sum((opens & (tag == "tr")).cast("int")).over(w).alias("rows"),
     )
-    paired = pair_tags(narrow, ["link", "cells", "tds"])
+    paired = pair_tags(narrow, ["href", "target", "cells", "tds"])
     matched = F.col("mate").isNotNull()
     step = F.when(opens, 1).when(F.col("kind") == "close", -1).otherwise(0)
 
