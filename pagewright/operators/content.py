@@ -225,12 +225,15 @@ def _slice(html: Column, region: Column) -> Column:
     return F.substring(html, start + 1, region["region_end"] - start)
 
 
-def extract_content(pages: DataFrame, params: PageJobParams | None = None) -> DataFrame:
+def extract_content(
+    pages: DataFrame, params: PageJobParams | None = None, use_primary: bool = True
+) -> DataFrame:
     """Main content per page: method, html, text, excerpt, byline, read time, error.
 
     ``pages`` should be laid out by page_id (see :func:`by_page`). The primary
     region counts if its text reaches the threshold. Otherwise every candidate
-    of the selectors is scored; this happens only on pages that need it.
+    of the selectors is scored; this happens only on pages that need it, or on all
+    of them without ``use_primary``.
     """
     p = params or PageJobParams()
     html = F.col("html")
@@ -252,7 +255,7 @@ def extract_content(pages: DataFrame, params: PageJobParams | None = None) -> Da
     first = regions.withColumn("_p_html", _slice(html, F.col("primary.region"))).withColumn(
         "_p_text", H.strip_to_text("_p_html")
     )
-    reaches = F.coalesce(F.length("_p_text") >= p.char_threshold, F.lit(False))
+    reaches = F.coalesce(F.length("_p_text") >= p.char_threshold, F.lit(False)) & F.lit(use_primary)
 
     def scored(c: Column) -> Column:
         content = _slice(html, c["region"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("scalars", "chunks")
+AREAS = ("scalars", "chunks", "web", "ops")
 
 
 def load():
