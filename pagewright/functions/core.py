@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 WS_SET = (
     r"\t\n\x0B\x0C\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 )
-WS = f"[{WS_SET}]"
-NON_WS = f"[^{WS_SET}]"
+# Most characters are neither: a coarse range in front of the set settles them with
+# two comparisons. Java reads && as intersection and a nested class as union.
+WS = rf"[\x00-\x20\x{{A0}}-\x{{FEFF}}&&[{WS_SET}]]"
+NON_WS = rf"[\x21-\x{{9F}}[^{WS_SET}]]"
 EDGE_WS = f"^{WS}+|{WS}+$"
 #: Any character but a line end.
 NOT_EOL = r"[^\n\r\x{2028}\x{2029}]"

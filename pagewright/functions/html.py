@@ -8,7 +8,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import EDGE_WS, NON_WS, WS, col, count_matches, replace_all, trim_ws, warnings_of
+from .core import NON_WS, WS, col, count_matches, replace_all, trim_ws, warnings_of
 from .urls import host
 
 MAX_HTML = 50 * 1024 * 1024
@@ -20,8 +20,8 @@ STRIP_STEPS = (
     (r"(?is)<style[^>]*>.*?</style>", ""),
     (r"<[^>]+>", " "),
     (rf"{WS}+", " "),
-    (rf"{WS}+([.!?])", "$1"),
-    (EDGE_WS, ""),
+    (r" ([.!?])", "$1"),
+    (r"^ | $", ""),
 )
 
 P_TAG = r"(?i)<p[^>]*>"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import EDGE_WS, NOT_EOL, WS, WS_SET, col, count_matches, replace_all, trim_ws, warnings_of
+from .core import NOT_EOL, WS, WS_SET, col, count_matches, replace_all, trim_ws, warnings_of
 
 # Blank lines before a fence or heading and after it.
 SPACE_FENCES = ((r"([^\n])\n```", "$1\n\n```"), (r"```\n([^\n])", "```\n\n$1"))
@@ -48,7 +48,7 @@ TEXT_STEPS = (
     (rf"(?m)^>{WS}*", ""),
     (r"[*_]{1,2}([^*_]+)[*_]{1,2}", "$1"),
     (rf"{WS}+", " "),
-    (EDGE_WS, ""),
+    (r"^ | $", ""),
 )
 
 FENCE = "```"

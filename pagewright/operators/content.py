@@ -350,13 +350,28 @@ def gate_content(content: DataFrame, params: PageJobParams | None = None) -> Dat
     )
 
 
+#: Stored bytes of pages per partition, and a limit for plans without known size.
+PARTITION_BYTES = 64 * 1024 * 1024
+MAX_PARTITIONS = 200_000
+
+
 def by_page(pages: DataFrame) -> DataFrame:
-    """Lay pages out by page_id, the one shuffle of the page job.
+    """Lay pages out by page_id, the one shuffle of whole pages.
 
-    Whole pages move, not their tokens. All windows, aggregates and joins of the
-    job are by page_id and stay inside these partitions.
+    Whole pages move, not their tokens. All windows and aggregates of the job are
+    by page_id and stay inside these partitions. Their number follows the size of
+    the input, since the work per byte is high: sized by bytes alone, small inputs
+    would end up in a few long tasks.
     """
-    return pages.where(F.col("page_id").isNotNull()).repartition("page_id")
+    spark = pages.sparkSession
+    plan = pages._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    n = max(
+        4 * spark.sparkContext.defaultParallelism,
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        min(size // PARTITION_BYTES, MAX_PARTITIONS),
+    )
+    return pages.where(F.col("page_id").isNotNull()).repartition(n, "page_id")
 
 
 __all__ = ["by_page", "content_regions", "extract_content", "gate_content"]

@@ -8,10 +8,15 @@ from ..functions import html as H
 from ..functions import markdown as M
 from ..functions import text as T
 from ..functions import urls as U
+from ..functions import core
 from ..functions.core import EDGE_WS, NON_WS, WS
 
+# RE2 has neither intersections nor nested classes.
+RE2_WS, RE2_NON_WS = f"[{core.WS_SET}]", f"[^{core.WS_SET}]"
+
 
 def q(s: str) -> str:
+    s = s.replace(WS, RE2_WS).replace(NON_WS, RE2_NON_WS)
     return "'" + s.replace("'", "''") + "'"
 
 
@@ -194,7 +199,7 @@ def clean(x):
 
 def words(x):
     """Word count the long way: blank punctuation, split, drop empties."""
-    split = f"string_split_regex({sub(x, '[^a-zA-Z0-9_' + WS[1:], ' ')}, {q(WS + '+')})"
+    split = f"string_split_regex({sub(x, '[^a-zA-Z0-9_' + core.WS_SET + ']', ' ')}, {q(WS + '+')})"
     return f"len(list_filter({split}, lambda w: w <> ''))"
 
 
