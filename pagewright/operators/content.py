@@ -360,17 +360,14 @@ def by_page(pages: DataFrame) -> DataFrame:
 
     Whole pages move, not their tokens. All windows and aggregates of the job are
     by page_id and stay inside these partitions. Their number follows the size of
-    the input, since the work per byte is high: sized by bytes alone, small inputs
-    would end up in a few long tasks.
+    the input, and a small input still uses every core.
     """
     spark = pages.sparkSession
     plan = pages._jdf.queryExecution().optimizedPlan()
     size = int(str(plan.stats().sizeInBytes()))
-    n = max(
-        4 * spark.sparkContext.defaultParallelism,
-        int(spark.conf.get("spark.sql.shuffle.partitions")),
-        min(size // PARTITION_BYTES, MAX_PARTITIONS),
-    )
+    # A task of this job spends over a second on compiling its many window steps, so
+    # there are no more tasks than cores unless the input is large.
+    n = max(spark.sparkContext.defaultParallelism, min(size // PARTITION_BYTES, MAX_PARTITIONS))
     return pages.where(F.col("page_id").isNotNull()).repartition(n, "page_id")
 
 

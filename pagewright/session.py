@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     # Joins on (page_id, x) may reuse a layout by page_id alone.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # lower() without the ICU tables, which take seconds to load on every executor
+    "spark.sql.icu.caseMappings.enabled": "false",
     # Arrow batches of texts: few rows per batch, as one row may be a large page.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
@@ -80,4 +82,4 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= 2 * cores:
         return df
-    return df.repartition(4 * cores)
+    return df.repartition(2 * cores)
