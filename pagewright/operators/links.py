@@ -134,7 +134,7 @@ def filter_by_globs(urls: DataFrame, globs: DataFrame, keep_matches: bool = True
     if len(head) <= GLOBS_ON_DRIVER:
         hit = U.matches_any_glob(url, head)
         return urls.where(hit if keep_matches else ~hit)
-    to_regex = F.udf(U.glob_to_regex, T.StringType())
+    to_regex = F.udf(U.glob_to_regex, T.StringType(), useArrow=False)
     literal_host = F.nullif(F.regexp_extract("pattern", r"^https?://([^/*?{}\[\]]+)(?:/.*)?$", 1), F.lit(""))
     keyed = globs.select("pattern", F.lower(literal_host).alias("_host"))
     free = [

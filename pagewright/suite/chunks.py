@@ -20,7 +20,10 @@ from . import duck as D
 from .registry import query
 from .scalars import MD_DOCS, markdown_docs
 
-CRAWLED_AT = F.lit("2024-12-12T10:30:00Z").cast("timestamp")
+def crawled_at():
+    """A fixed crawl time, so that results repeat."""
+    return F.lit("2024-12-12T10:30:00Z").cast("timestamp")
+
 SIZE, OVERLAP = 1000, 100
 
 # A chunk table both engines can build: the lines of each document.
@@ -228,7 +231,7 @@ def sources(spark, d):
 )
 def source_metadata(spark, d):
     df = sources(spark, d)
-    return df.select("page_id", E.source_metadata(df, CRAWLED_AT).alias("s")).select(
+    return df.select("page_id", E.source_metadata(df, crawled_at()).alias("s")).select(
         "page_id", "s.url", "s.domain", "s.title", "s.description", "s.content_type"
     )
 
@@ -247,7 +250,7 @@ def enriched_lines(spark, d, **options):
     rows = C.locate_chunks(lines(spark, d), "doc_id", OVERLAP).withColumn(
         "url", F.concat(F.lit("https://docs.example.com/"), F.col("doc_id").cast("string"))
     )
-    return E.enrich(rows, CRAWLED_AT, SIZE, OVERLAP, **options)
+    return E.enrich(rows, crawled_at(), SIZE, OVERLAP, **options)
 
 
 @query(
@@ -316,7 +319,7 @@ def enrichment_failures(spark, d):
             "url": F.lit("https://docs.example.com/"), "total_chunks": F.lit(1),
         }
     )
-    return E.enrich(rows, CRAWLED_AT).select(
+    return E.enrich(rows, crawled_at()).select(
         "doc_id", *longs("chunk_index"),
         F.coalesce("processing.error", F.lit("")).alias("error"),
         F.col("content_meta").isNotNull().alias("analysed"),
@@ -592,7 +595,7 @@ def head_sample(spark, d):
 @query("text_job")
 def text_job(spark, d):
     """Split, enrich and count all documents."""
-    return process_texts(markdown_docs(spark, d), "markdown", crawled_at=CRAWLED_AT)
+    return process_texts(markdown_docs(spark, d), "markdown", crawled_at=crawled_at())
 
 
 @query(
@@ -628,7 +631,7 @@ def flat_records(spark, d):
             "tokens": F.floor(F.length("content") / 4).cast("int"),
         }
     )
-    return sinks.chunk_records(rows, CRAWLED_AT)
+    return sinks.chunk_records(rows, crawled_at())
 
 
 _FLAT = f"""SELECT u || '#chunk-' || chunk_index AS chunk_id, 's' || doc_id % 5 || '.example.com' AS domain, '' AS title, chunk_index, total_chunks,

@@ -11,7 +11,7 @@ from ..session import work_dir
 from ..sources.tables import read_table
 from ..streaming import jobs as S
 from . import duck as D
-from .chunks import CRAWLED_AT, longs
+from .chunks import crawled_at, longs
 from .registry import query
 
 # Messages in the events, by event id.
@@ -178,7 +178,7 @@ def stream_first_visits(spark, d):
 def stream_page_chunks(spark, d):
     """Page stream to chunk rows."""
     out, state = work_dir(spark, "chunks"), work_dir(spark, "chunks-state")
-    S.chunk_pages(S.stream_pages(spark, f"{d}/pages*.parquet"), out, state, crawled_at=CRAWLED_AT).awaitTermination()
+    S.chunk_pages(S.stream_pages(spark, f"{d}/pages*.parquet"), out, state, crawled_at=crawled_at()).awaitTermination()
     return spark.read.parquet(out).select("page_id", *longs("chunk_index"), "content", *longs("tokens"))
 
 

@@ -18,7 +18,7 @@ from ..session import work_dir
 from ..sources import sinks
 from ..sources.tables import read_pages, read_table
 from . import duck as D
-from .chunks import CRAWLED_AT, longs
+from .chunks import crawled_at, longs
 from .registry import query
 from .scalars import EXCLUDE, INCLUDE, PAGES
 
@@ -163,7 +163,7 @@ def page_gates(spark, d):
 )
 def page_failures(spark, d):
     """Failed page records, written to quarantine and read back."""
-    results = P.page_results(pages(spark, d), tight_params(), CRAWLED_AT)
+    results = P.page_results(pages(spark, d), tight_params(), crawled_at())
     good, bad = work_dir(spark, "page-results"), work_dir(spark, "quarantine")
     sinks.write_results(results, good, bad)
     return spark.read.parquet(bad)
@@ -172,13 +172,13 @@ def page_failures(spark, d):
 @query("page_results")
 def page_results(spark, d):
     """The whole page job: one nested record per page."""
-    return P.page_results(pages(spark, d), crawled_at=CRAWLED_AT)
+    return P.page_results(pages(spark, d), crawled_at=crawled_at())
 
 
 @query("page_chunks")
 def page_chunks(spark, d):
     """The whole page job as flat, enriched chunk rows."""
-    return P.page_chunks(pages(spark, d), crawled_at=CRAWLED_AT)
+    return P.page_chunks(pages(spark, d), crawled_at=crawled_at())
 
 
 @query(
@@ -188,7 +188,7 @@ def page_chunks(spark, d):
 )
 def page_record_totals(spark, d):
     """Nested records: without overlap the chunks hold the page's text, and the totals are their sums."""
-    r = P.page_results(pages(spark, d), P.PageJobParams(chunk_overlap=0), CRAWLED_AT)
+    r = P.page_results(pages(spark, d), P.PageJobParams(chunk_overlap=0), crawled_at())
     content = F.transform("chunks", lambda c: c["content"])
     sums = (
         (F.aggregate("chunks", F.lit(0).cast("long"), lambda a, c: a + c["tokens"]) == F.col("total_tokens"))
@@ -214,7 +214,7 @@ def page_rollup(spark, d):
 def page_run_statistics(spark, d):
     """Run statistics written as JSON and read back."""
     path = work_dir(spark, "run-statistics")
-    sinks.write_run_statistics(P.page_results(pages(spark, d), tight_params(), CRAWLED_AT), path)
+    sinks.write_run_statistics(P.page_results(pages(spark, d), tight_params(), crawled_at()), path)
     names = ("total_requests", "successful_requests", "failed_requests", "failed_extractions", "success_rate")
     return spark.read.json(path).select(*longs(*names))
 
