@@ -350,9 +350,11 @@ def gate_content(content: DataFrame, params: PageJobParams | None = None) -> Dat
     )
 
 
-#: Stored bytes of pages per partition, and a limit for plans without known size.
+#: Stored bytes of pages per partition, and the most partitions one shuffle should have.
 PARTITION_BYTES = 64 * 1024 * 1024
 MAX_PARTITIONS = 200_000
+#: Spark estimates this and more for plans whose size it does not know.
+UNKNOWN_SIZE = 2**60
 
 
 def by_page(pages: DataFrame) -> DataFrame:
@@ -367,7 +369,9 @@ def by_page(pages: DataFrame) -> DataFrame:
     size = int(str(plan.stats().sizeInBytes()))
     # A task of this job spends over a second on compiling its many window steps, so
     # there are no more tasks than cores unless the input is large.
-    n = max(spark.sparkContext.defaultParallelism, min(size // PARTITION_BYTES, MAX_PARTITIONS))
+    known = size < UNKNOWN_SIZE
+    wanted = size // PARTITION_BYTES if known else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = min(max(spark.sparkContext.defaultParallelism, wanted), MAX_PARTITIONS)
     return pages.where(F.col("page_id").isNotNull()).repartition(n, "page_id")
 
 
