@@ -34,3 +34,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), path)
     return read_token_files(spark, path)
+
+
+@query("op2_best_fit_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
