@@ -17,3 +17,24 @@ def portions(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+
+
+def add_columns(df, text: str, added: str, make) -> "DataFrame":  # noqa: F821
+    """``df`` with columns computed from one text column, batch by batch.
+
+    ``make`` takes a list of byte texts and returns the arrays of the columns that ``added`` names (a
+    schema string). The columns of ``df`` pass through under numbered names, so none can clash;
+    the result has them first, as ``_0``, ``_1`` and so on.
+    """
+    from pyspark.sql.types import StructType
+
+    names = [f"_{i}" for i in range(len(df.columns))]
+    at = df.columns.index(text)
+    shape = StructType.fromDDL(added)
+
+    def run(batches):
+        for b in portions(batches, 500):
+            yield pa.RecordBatch.from_arrays([*b.columns, *make(byte_texts(b.column(at)))], [*names, *shape.names])
+
+    renamed = df.toDF(*names)
+    return renamed.mapInArrow(run, StructType(renamed.schema.fields + shape.fields))

@@ -79,3 +79,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"),
         is_contaminated().alias("contaminated"),
     )
+
+
+@query("op10_quality")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm.quality import score_documents, train
+
+    documents = table(spark, sf_dir, "documents")
+    return score_documents(documents, train(documents, table(spark, sf_dir, "labels")))
