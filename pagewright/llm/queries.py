@@ -87,3 +87,27 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     documents = table(spark, sf_dir, "documents")
     return score_documents(documents, train(documents, table(spark, sf_dir, "labels")))
+
+
+_OP8_SQL = r"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT DISTINCT r, array_to_string(w[i:i + 2], ' ') AS s
+          FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT r, count(*) AS n FROM grams GROUP BY r),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM grams a JOIN grams b USING (s) WHERE a.r < b.r GROUP BY 1, 2),
+links AS (SELECT a, b FROM common c JOIN sizes x ON x.r = c.a JOIN sizes y ON y.r = c.b WHERE 100 * c.n >= 90 * (x.n + y.n - c.n)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT r, r AS x FROM docs UNION SELECT reach.r, l.b FROM reach JOIN both_ways l ON l.a = reach.x)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM docs d LEFT JOIN sizes s USING (r)
+JOIN (SELECT reach.r, min(o.doc_id) AS component_id FROM reach JOIN docs o ON o.r = reach.x GROUP BY reach.r) c USING (r)
+"""
+
+
+@query("op8_jaccard_join", _OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
