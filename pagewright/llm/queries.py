@@ -111,3 +111,22 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagewright.llm.jaccard_join import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+_OP5_SQL = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM scored)
+SELECT query_id, n::INTEGER AS rank, vec_id, score FROM ranked WHERE n <= 5
+"""
+
+
+@query("op5_topk", _OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm.topk import quantised, top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors.select("vec_id", quantised(F.col("embedding")).alias("vector")))
