@@ -130,3 +130,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors.select("vec_id", quantised(F.col("embedding")).alias("vector")))
+
+
+@query("op6_main_text")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm.main_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
