@@ -137,3 +137,22 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagewright.llm.main_text import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+_OP4_SQL = r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM t),
+convs AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY pos) AS turns FROM placed GROUP BY conv_id),
+gone AS (SELECT DISTINCT a.conv_id FROM convs a JOIN convs b ON a.turns[1] = b.turns[1] AND a.turns = b.turns[1:len(a.turns)]
+         AND (len(b.turns) > len(a.turns) OR b.conv_id < a.conv_id))
+SELECT conv_id, (pos // 256)::BIGINT AS part, count(*) AS n_turns,
+       string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text
+FROM placed WHERE conv_id NOT IN (SELECT conv_id FROM gone) GROUP BY 1, 2
+"""
+
+
+@query("op4_chat_collapse", _OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm.chat import render
+
+    return render(table(spark, sf_dir, "conversations"))
