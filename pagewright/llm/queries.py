@@ -156,3 +156,72 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagewright.llm.chat import render
 
     return render(table(spark, sf_dir, "conversations"))
+
+
+def page_captures(pages: DataFrame) -> DataFrame:
+    """WARC records made of ``pages``: a response for each, and for every second one a revisit.
+
+    Times, validators and other headers follow from the page id: a revisit comes a day later, or an hour
+    earlier if the id is divisible by 10, and has another ETag if it is divisible by 6.
+    """
+    from pagewright.llm.warc import warc_record
+
+    def headers(**named) -> F.Column:
+        return F.create_map(*(x for k, v in named.items() for x in (F.lit(k.replace("_", "-")), v if not isinstance(v, str) else F.lit(v))))
+
+    page = F.col("page_id")
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + page * 977 % 1_000_003)
+    tag = F.concat(F.lit('"'), F.md5(F.col("html").cast("binary")), F.lit('"'))
+    responses = pages.select(
+        warc_record(
+            F.concat(F.lit("r-"), page), F.lit("response"), F.col("url"), at, F.lit("HTTP/1.1 200 OK"),
+            headers(content_type="text/html", etag=tag, server="origin", date=F.date_format(at, "yyyy-MM-dd HH:mm:ss")), F.col("html"),
+        ).alias("content")
+    )
+    later = F.timestamp_seconds(F.unix_timestamp(at) + F.when(page % 10 == 0, -3600).otherwise(86400))
+    again = headers(
+        etag=F.when(page % 6 == 0, '"other"').otherwise(F.concat(F.lit("W/"), tag)), server="cache",
+        date=F.date_format(later, "yyyy-MM-dd HH:mm:ss"), expires="0",
+    )
+    revisits = pages.where(page % 2 == 0).select(
+        warc_record(F.concat(F.lit("v-"), page), F.lit("revisit"), F.col("url"), later, F.lit("HTTP/1.1 304 Not Modified"), again, F.lit("")).alias("content")
+    )
+    return responses.union(revisits)
+
+
+_OP9_SQL = r"""
+WITH p AS (SELECT page_id, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare,
+  1700000000 + page_id * 977 % 1000003 AS ts, '"' || md5(html) || '"' AS tag FROM pages),
+q AS (SELECT *, regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www[.]', '') AS host,
+  regexp_replace(regexp_extract(bare, '^[^/?]*(.*)$', 1), '([?&])(utm_[a-z]+|ref)=[^&]*', '\1', 'g') AS rest FROM p),
+c AS (SELECT page_id, html, ts, tag, host || regexp_replace(
+  regexp_replace(regexp_replace(regexp_replace(rest, '&+', '&', 'g'), '[?]&', '?', 'g'), '[?&]+$', ''), '/+$', '') AS url FROM q),
+v AS (SELECT 'v-' || page_id AS record_id, url, ts + CASE WHEN page_id % 10 = 0 THEN -3600 ELSE 86400 END AS ts,
+  CASE WHEN page_id % 6 = 0 THEN '"other"' ELSE tag END AS tag FROM c WHERE page_id % 2 = 0),
+r AS (SELECT * FROM (SELECT url, ts, 'r-' || page_id AS id, tag, html, row_number() OVER (PARTITION BY url, ts ORDER BY 'r-' || page_id DESC) AS n FROM c)
+      WHERE n = 1),
+j AS (SELECT v.record_id, v.url, v.ts, v.tag AS new, r.id, r.ts AS was, r.tag, r.html FROM v ASOF LEFT JOIN r ON v.url = r.url AND v.ts > r.ts),
+d AS (SELECT *, CASE WHEN id IS NULL THEN 'no_response' WHEN new = tag THEN 'resolved' ELSE 'validator_mismatch' END AS result FROM j)
+SELECT record_id, url, ts::BIGINT AS captured_at, result, CASE WHEN result = 'resolved' THEN id END AS response_id,
+  CASE WHEN result = 'resolved' THEN 'content-type: text/html' || chr(10) || 'date: ' || strftime(make_timestamp(ts * 1000000), '%Y-%m-%d %H:%M:%S')
+    || chr(10) || 'etag: W/' || new || chr(10) || 'expires: 0' || chr(10) || 'server: origin' END AS headers,
+  CASE WHEN result = 'resolved' THEN md5(html) END AS body_md5
+FROM d
+"""
+
+
+@query("op9_revisits", _OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm.warc import read_records, resolve_revisits
+
+    found = resolve_revisits(read_records(page_captures(table(spark, sf_dir, "pages"))))
+    lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e.key, F.lit(": "), e.value)))
+    return found.select(
+        "record_id",
+        "url",
+        F.unix_timestamp("captured_at").alias("captured_at"),
+        "result",
+        "response_id",
+        F.when(F.col("headers").isNotNull(), F.array_join(lines, "\n")).alias("headers"),
+        F.md5("body").alias("body_md5"),
+    )
