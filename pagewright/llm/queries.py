@@ -225,3 +225,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("headers").isNotNull(), F.array_join(lines, "\n")).alias("headers"),
         F.md5("body").alias("body_md5"),
     )
+
+
+@query("op7_licences")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm.licences import scan
+
+    return scan(table(spark, sf_dir, "documents"))
