@@ -90,7 +90,7 @@ class BlockModel:
     def __init__(self):
         self.mean, self.scale = np.zeros(FEATURES), np.ones(FEATURES)
         self.weights = np.zeros(FEATURES + 1)
-        self.weights[[0, 2, 3]] = -2.5, 0.6, -4.0
+        self.weights[[0, 2, 3]] = -1.2, 0.6, -4.0
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
         if not 0 < y.sum() < len(y):
