@@ -44,7 +44,7 @@ ANY_TAG = r"</?[a-zA-Z][^>]*>|<![^>]*>"
 
 #: Named character references (HTML 4 set), from the standard library table.
 ENTITIES = {name: chr(cp) for name, cp in name2codepoint.items()} | {"apos": "'"}
-ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
+ENTITY = r"^(#0*[0-9]{1,7}|#[xX]0*[0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
 
 
 def char_of(code: Column) -> Column:
@@ -65,10 +65,9 @@ def decode_entities(text: Column | str) -> Column:
 
     def valued(x: Column) -> Column:
         name = x["name"]
-        digits = F.substring(name, 2, 10)
-        code = F.when(
-            digits.rlike("^[xX]"), F.conv(F.substring(digits, 2, 10), 16, 10)
-        ).otherwise(digits)
+        # without leading zeros, of which there may be any number
+        digits = F.concat(F.lit("0"), F.regexp_extract(name, "^#[xX]?0*([0-9a-fA-F]*)$", 1))
+        code = F.when(name.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits)
         char = F.when(name.startswith("#"), char_of(code.cast("long"))).otherwise(F.element_at(table, name))
         rest = F.substring(x["p"], F.length(name) + 2, F.length(x["p"]))
         return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), x["p"]))

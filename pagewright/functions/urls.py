@@ -78,7 +78,7 @@ def encode_unsafe(c: Column) -> Column:
 
 def resolve_dots(p: Column) -> Column:
     """Resolve ``.`` and ``..`` segments of an absolute path."""
-    segments = F.split(F.substring(p, 2, 1_000_000), "/")
+    segments = F.split(F.substr(p, F.lit(2)), "/")
 
     def step(acc: Column, s: Column) -> Column:
         return (

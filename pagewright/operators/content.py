@@ -36,6 +36,8 @@ BAD_NAME = (
 )
 NAME_WEIGHT = 25
 MIN_BLOCK = 25
+#: Pages with less html are not parsed.
+MIN_PAGE_LENGTH = 100
 # What a block of text gives the box around it and the next two out.
 POINT_SHARES = (1.0, 0.5, 1.0 / 6)
 
@@ -230,22 +232,24 @@ def extract_content(
 ) -> DataFrame:
     """Main content per page: method, html, text, excerpt, byline, read time, error.
 
-    ``pages`` should be laid out by page_id (see :func:`by_page`). The primary
+    ``page_id`` must name one row each (see :func:`with_row_key`), and ``pages`` should be
+    laid out by it (see :func:`by_page`). Columns besides page_id, url and html are kept. The primary
     region counts if its text reaches the threshold. Otherwise every candidate
     of the selectors is scored; this happens only on pages that need it, or on all
     of them without ``use_primary``.
     """
     p = params or PageJobParams()
     html = F.col("html")
+    others = [c for c in pages.columns if c not in ("page_id", "url", "html")]
     # Facts of the whole page first. A page that fails a gate is not parsed.
     facts = pages.select(
-        "page_id", "url", "html",
+        "page_id", "url", "html", *others,
         H.title_tag("html").alias("_title"),
         H.meta_content("html", "author").alias("_author"),
         H.meta_content("html", "description").alias("_description"),
         F.length(H.body_text("html")).alias("_body"),
     ).select(
-        "page_id", "url",
+        "page_id", "url", *others,
         H.title_or_domain(F.col("_title"), F.col("url")).alias("title"),
         "_author", "_description",
         _before_error(p, F.col("_body")).alias("_gate"),
@@ -290,7 +294,7 @@ def extract_content(
     excerpt = H.excerpt("content_text")
     primary = F.col("_ok")
     return done.select(
-        "page_id", "url", "title", "content_html", "content_text", "method", "fallback_used",
+        "page_id", "url", *others, "title", "content_html", "content_text", "method", "fallback_used",
         F.when(primary, F.col("_author")).otherwise("").alias("byline"),
         F.when(primary & ~is_blank("_description"), F.col("_description")).otherwise(excerpt).alias("excerpt"),
         H.read_time(F.length("content_text"), F.col("fallback_used")).cast("int").alias("read_time"),
@@ -307,6 +311,9 @@ def _before_error(p: PageJobParams, n: Column) -> Column:
     """Why a page is not parsed: it is invalid or its body text, ``n`` characters, is too short."""
     error = H.html_error("html")
     return F.when(
+        F.length("html") < MIN_PAGE_LENGTH,
+        _gate("extraction", "Page content is empty or too short"),
+    ).when(
         error.isNotNull(),
         _gate("parsing", F.concat(F.lit("HTML parsing failed: HTML validation failed: "), error)),
     ).when(
@@ -372,7 +379,25 @@ def by_page(pages: DataFrame) -> DataFrame:
     known = size < UNKNOWN_SIZE
     wanted = size // PARTITION_BYTES if known else int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = min(max(spark.sparkContext.defaultParallelism, wanted), MAX_PARTITIONS)
-    return pages.where(F.col("page_id").isNotNull()).repartition(n, "page_id")
+    return pages.repartition(n, "page_id")
+
+
+def with_row_key(pages: DataFrame) -> DataFrame:
+    """Pages under a key of their own row; the given id becomes ``source_page_id``.
+
+    Ids may be missing or shared by several pages. The key is the row's place in the
+    scan, which a repeated task gives again, so no two rows can share one.
+    """
+    return pages.select(
+        F.monotonically_increasing_id().alias("page_id"),
+        F.col("page_id").alias("source_page_id"),
+        *[c for c in pages.columns if c != "page_id"],
+    )
+
+
+def with_source_id(rows: DataFrame) -> DataFrame:
+    """The reverse of :func:`with_row_key`."""
+    return rows.drop("page_id").withColumnRenamed("source_page_id", "page_id")
 
 
-__all__ = ["by_page", "content_regions", "extract_content", "gate_content"]
+__all__ = ["by_page", "content_regions", "extract_content", "gate_content", "with_row_key", "with_source_id"]

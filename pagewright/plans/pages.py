@@ -1,8 +1,8 @@
 """Page job: stored pages to Markdown, chunks, and nested page records.
 
-Pages are laid out by page_id once. Tokens, regions, Markdown, chunks and the final
-nesting all stay inside those partitions, so the job has one shuffle, of whole
-pages, and none if the page table is already bucketed by page_id.
+Every page row gets a key of its own, so pages may share an id, or have none, and each
+still becomes one record. Pages are laid out by that key once. Tokens, regions, Markdown and
+chunks stay inside those partitions; the final nesting shuffles one partial record per page.
 """
 
 from __future__ import annotations
@@ -11,23 +11,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.chunking import chunk_documents
-from ..operators.content import by_page, extract_content, gate_content
+from ..operators.content import by_page, extract_content, gate_content, with_row_key, with_source_id
 from ..operators.enrich import enrich
 from ..operators.markdown import render_markdown
 from ..operators.rollups import CHUNKING_FAILED, SUCCESS
 from ..operators.tokens import with_tokens
 from ..params import PageJobParams
 
-PAGE_FIELDS = ("page_id", "url", "title", "status", "extraction_method", "error", "error_stage")
+PAGE_FIELDS = ("page_id", "source_page_id", "url", "title", "status", "extraction_method", "error", "error_stage")
+
+
+def _keyed_content(pages: DataFrame, p: PageJobParams, preserve_code: bool = False) -> DataFrame:
+    """As :func:`page_content`, with page_id the row key and source_page_id the page's id."""
+    extracted = extract_content(by_page(with_row_key(pages.select("page_id", "url", "html"))), p)
+    return gate_content(render_markdown(extracted, preserve_code=preserve_code), p)
 
 
 def page_content(
     pages: DataFrame, params: PageJobParams | None = None, preserve_code: bool = False
 ) -> DataFrame:
-    """Title, method, Markdown, plain text, status and messages per page."""
-    p = params or PageJobParams()
-    extracted = extract_content(by_page(pages), p)
-    return gate_content(render_markdown(extracted, preserve_code=preserve_code), p)
+    """Title, method, Markdown, plain text, status and messages, one row per page row."""
+    return with_source_id(_keyed_content(pages, params or PageJobParams(), preserve_code))
 
 
 def page_chunks(
@@ -41,10 +45,20 @@ def page_chunks(
 
     With ``keep_failed``, pages without chunks keep one row with NULL content.
     """
+    return with_source_id(_keyed_chunks(pages, params, crawled_at, keep_failed, **enrich_options))
+
+
+def _keyed_chunks(
+    pages: DataFrame,
+    params: PageJobParams | None = None,
+    crawled_at: Column | None = None,
+    keep_failed: bool = False,
+    **enrich_options,
+) -> DataFrame:
     p = params or PageJobParams()
     when = F.current_timestamp() if crawled_at is None else crawled_at
-    content = page_content(pages, p).select(
-        "page_id", "url", "title", F.col("excerpt").alias("description"),
+    content = _keyed_content(pages, p).select(
+        "page_id", "source_page_id", "url", "title", F.col("excerpt").alias("description"),
         F.col("method").alias("extraction_method"), "status", "error", "error_stage",
         F.length("markdown").alias("original_length"),
         F.when(F.col("status") == SUCCESS, F.col("markdown")).alias("markdown"),
@@ -63,7 +77,7 @@ def page_results(
 ) -> DataFrame:
     """One nested record per page, failed pages included, as in ``PAGE_RESULT_SCHEMA``."""
     when = F.current_timestamp() if crawled_at is None else crawled_at
-    rows = page_chunks(pages, params, when, keep_failed=True, **enrich_options)
+    rows = _keyed_chunks(pages, params, when, keep_failed=True, **enrich_options)
     has_chunk = F.col("content").isNotNull()
     chunk = F.struct(
         F.col("chunk_index").cast("int").alias("chunk_index"), "content", "chunk_id", "tokens", "word_count",

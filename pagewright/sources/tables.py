@@ -10,9 +10,6 @@ from pyspark.sql import types as T
 
 from ..functions import urls
 
-#: Pages shorter than this hold no content worth a parse.
-MIN_PAGE_LENGTH = 100
-
 PAGE_SCHEMA = "page_id BIGINT, url STRING, html STRING"
 SEED_SCHEMA = "url STRING"
 
@@ -22,12 +19,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def read_pages(
-    spark: SparkSession, path: str, fmt: str = "parquet", min_length: int = MIN_PAGE_LENGTH
+    spark: SparkSession, path: str, fmt: str = "parquet", min_length: int = 0
 ) -> DataFrame:
-    """Stored pages with html of at least ``min_length`` characters."""
+    """Stored pages; with ``min_length``, those with html of at least so many characters.
+
+    The page job wants all of them: it records short pages as failures.
+    """
     reader = spark.read.format(fmt)
     pages = (reader if fmt == "parquet" else reader.schema(PAGE_SCHEMA)).load(path)
-    return pages.select("page_id", "url", "html").where(F.length("html") >= min_length)
+    pages = pages.select("page_id", "url", "html")
+    return pages.where(F.length("html") >= min_length) if min_length else pages
 
 
 def seed_urls(raw: DataFrame, column: str = "seed") -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions import urls as U
 from ..operators.metrics import exact_sum
 from ..params import PageJobParams
 from ..plans.pages import page_chunks
-from ..sources.tables import MIN_PAGE_LENGTH, PAGE_SCHEMA
+from ..sources.tables import PAGE_SCHEMA
 
 EVENT_SCHEMA = (
     "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
@@ -24,7 +24,7 @@ def stream_pages(spark: SparkSession, path: str, files_per_trigger: int | None =
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path).select(
         "*", F.col("_metadata.file_modification_time").alias("arrived")
-    ).where(F.length("html") >= MIN_PAGE_LENGTH)
+    )
 
 
 def stream_events(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:

@@ -600,14 +600,16 @@ def text_job(spark, d):
 
 @query(
     "text_job_totals",
-    f"SELECT count(DISTINCT doc_id) AS documents, count(*) = count(DISTINCT doc_id) AS one_row_each FROM {MD_DOCS} WHERE {D.has('markdown', D.NON_WS)}",
+    f"""SELECT count(DISTINCT doc_id) AS documents, count(*) = count(DISTINCT doc_id) AS one_row_each,
+        count(*) FILTER (NOT coalesce({D.has('markdown', D.NON_WS)}, false)) AS failed FROM {MD_DOCS}""",
 )
 def text_job_totals(spark, d):
-    """Every document with text comes out of the text job once."""
-    per_doc = R.page_rollup(text_job(spark, d), ["doc_id"])
+    """Every document comes out of the text job once, those without text as failed."""
+    per_doc = R.page_rollup(text_job(spark, d), ["doc_id", "status"])
     return per_doc.agg(
         F.count_distinct("doc_id").alias("documents"),
         (F.count("*") == F.count_distinct("doc_id")).alias("one_row_each"),
+        F.count_if(F.col("status") == "chunking_failed").alias("failed"),
     )
 
 

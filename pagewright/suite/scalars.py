@@ -55,7 +55,7 @@ MD_DOCS = (
     "SELECT page_id, url, length(html) AS html_length FROM pages WHERE length(html) >= 100",
 )
 def page_scan(spark, d):
-    return read_pages(spark, f"{d}/pages.parquet").select(
+    return read_pages(spark, f"{d}/pages.parquet", min_length=100).select(
         "page_id", "url", F.length("html").cast("long").alias("html_length")
     )
 

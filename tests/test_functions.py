@@ -157,3 +157,15 @@ def test_failures_and_durations(spark):
 def test_parameter_ranges(bad):
     with pytest.raises(ParameterError):
         PageJobParams(**bad)
+
+
+def test_references_with_any_number_of_zeros(spark):
+    cases = {"&#0000000065;": "A", "&#x0000000041;": "A", "&#65;&#X41;": "AA", "&#0;": "�", "&#x0;": "�", "&#99999999;": "&#99999999;"}
+    df = spark.createDataFrame([(c,) for c in cases], "t string")
+    assert {r[0]: r[1] for r in df.select("t", H.decode_entities("t")).collect()} == cases
+
+
+def test_very_long_paths_keep_their_end(spark):
+    path = "/a" * 600_000 + "/end"
+    df = spark.createDataFrame([(path,)], "p string")
+    assert df.select(U.resolve_dots(F.col("p"))).first()[0] == path

@@ -103,3 +103,24 @@ def test_page_job_shuffles_pages_once(spark, pages):
     plan = plan_of(page_content(pages))
     assert len(re.findall(r"Exchange ", plan)) == 1
     assert "Join" not in plan and "PythonUDF" not in plan
+
+
+def test_pages_that_share_an_id_or_have_none(spark):
+    def page(name):
+        return f"<html><head><title>{name}</title></head><body><article><p>{name}. {LONG}</p></article></body></html>"
+
+    rows = [(1, "http://x.org/x", page("Alpha")), (1, "http://x.org/y", page("Beta")), (2, "http://x.org/z", page("Gamma"))]
+    rows += [(None, "http://x.org/n", page("Delta")), (None, "http://x.org/m", page("Epsilon")), (2, "http://x.org/z", page("Gamma"))]
+    rows += [(9, "http://x.org/s", "<p>tiny</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = page_results(df).collect()
+    assert sorted((r.url, r.title, r.status) for r in got) == sorted(
+        (u, h.split("title>")[1][:-2] if "title>" in h else "x.org", "success" if len(h) > 100 else "extraction_failed") for _, u, h in rows
+    )
+    for r in got:
+        if r.chunks:
+            assert r.chunks[0].content.startswith(f"{r.title}. Sentence")
+    short = next(r for r in got if r.url.endswith("/s"))
+    assert (short.error_stage, short.error) == ("extraction", "Page content is empty or too short")
+    ids = sorted((str(r.page_id), r.title) for r in page_content(df).collect())
+    assert ids == sorted((str(i), t) for (i, _, _), t in zip(rows, ["Alpha", "Beta", "Gamma", "Delta", "Epsilon", "Gamma", "x.org"]))
