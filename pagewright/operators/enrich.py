@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,22 +65,50 @@ def processing_metadata(df: DataFrame, method: str, size: int, overlap: int) ->
     )
 
 
-def apply_enrichers(custom: Column, enrichers: Sequence[Enricher]) -> Column:
-    """Merge the map each enricher returns over the map so far; NULL leaves it unchanged.
+def python_enricher(fn: Callable[[str | None, dict[str, str], int], dict[str, str] | None]) -> Enricher:
+    """An enricher from a Python function of (content, map so far, chunk index), run in Arrow batches.
 
-    An enricher gets (content, map so far, chunk index) as columns and returns a
-    map<string,string> column, built-in functions or a pandas UDF alike. Later
-    keys win. Use ``try_`` functions where an input may fail, so that the row stays.
+    The map it returns replaces the map so far, so it may also remove keys; None leaves it. If
+    it raises, the row stays as it was and the message goes to ``processing.error``.
     """
-    merged = custom
+
+    @F.pandas_udf("fields map<string,string>, error string")
+    def run(content: pd.Series, fields: pd.Series, index: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, old, i in zip(content, fields, index):
+            try:
+                new = fn(text, dict(old), i)
+                out.append((old if new is None else {str(k): None if v is None else str(v) for k, v in new.items()}, None))
+            except Exception as e:  # the function is the caller's; its fault must not end the job
+                out.append((old, f"Custom enricher failed: {e}"))
+        return pd.DataFrame(out, columns=["fields", "error"])
+
+    run.replaces = True
+    return run
+
+
+def _put_over(fields: Column, extra: Column) -> Column:
+    return F.map_concat(F.map_filter(fields, lambda k, v: ~F.map_contains_key(extra, k)), extra)
+
+
+def apply_enrichers(rows: DataFrame, custom: Column, enrichers: Sequence[Enricher]) -> DataFrame:
+    """``rows`` with ``custom``, the map after all enrichers, and ``_enricher_error``, the first failure.
+
+    An enricher gets (content, map so far, chunk index) as columns. One made of column functions
+    returns a map<string,string>, whose keys are put over the map so far; NULL leaves it
+    unchanged. For Python functions see :func:`python_enricher`.
+    """
+    out = rows.withColumns({"custom": custom, "_enricher_error": F.lit(None).cast("string")})
     for enricher in enrichers:
-        extra = F.coalesce(
-            enricher(F.col("content"), merged, F.col("chunk_index")),
-            F.create_map().cast("map<string,string>"),
-        )
-        kept = F.map_filter(merged, lambda k, v: ~F.map_contains_key(extra, k))
-        merged = F.map_concat(kept, extra)
-    return merged
+        found = enricher(F.col("content"), F.col("custom"), F.col("chunk_index"))
+        if getattr(enricher, "replaces", False):
+            out = out.withColumn("_found", found).withColumns(
+                {"custom": F.col("_found.fields"), "_enricher_error": F.coalesce("_enricher_error", "_found.error")}
+            ).drop("_found")
+        else:
+            extra = F.coalesce(found, F.create_map().cast("map<string,string>"))
+            out = out.withColumn("custom", _put_over(F.col("custom"), extra))
+    return out
 
 
 def enrich(
@@ -98,17 +127,17 @@ def enrich(
     failed = F.col("content").isNull()
     # The counts come first, as columns, so that what is built from them reuses them.
     counted = chunks.withColumns({"_structure": T.structure("content"), "_words": T.word_count("content")})
+    counted = apply_enrichers(counted, base, enrichers)
     rows = counted.withColumns(
         {
             "chunk_id": T.chunk_id("url", "chunk_index", F.coalesce("content", F.lit(""))),
             "source": source_metadata(chunks, crawled_at),
             "processing": processing_metadata(chunks, method, size, overlap).withField(
-                "error", F.when(failed, "content must be a string")
+                "error", F.when(failed, "content must be a string").otherwise(F.col("_enricher_error"))
             ),
             "content_meta": F.when(~failed, T.analysis("content", F.col("_structure"), F.col("_words"))),
-            "custom": apply_enrichers(base, enrichers),
         }
-    ).drop("_structure", "_words")
+    ).drop("_structure", "_words", "_enricher_error")
     return limit_metadata(rows, max_metadata_size)
 
 
@@ -134,20 +163,32 @@ def limit_metadata(rows: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def enrichment_stats(rows: DataFrame) -> DataFrame:
-    """One row: counts, metadata sizes, content-type histogram, success ratio, average length."""
-    kind = F.coalesce(F.col("content_meta.content_type"), F.lit("unknown"))
-    parts = rows.select(
-        kind.alias("kind"),
-        metadata_size().alias("size"),
+def enrichment_facts() -> list[Column]:
+    """What :func:`enrichment_stats` needs of a row: kind, meta_size, len, enriched."""
+    return [
+        F.coalesce(F.col("content_meta.content_type"), F.lit("unknown")).alias("kind"),
+        metadata_size().alias("meta_size"),
         F.length(F.coalesce("content", F.lit(""))).cast("long").alias("len"),
-    ).groupBy("kind").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("len").alias("len"))
+        F.col("processing.error").isNull().cast("long").alias("enriched"),
+    ]
+
+
+def enrichment_stats(rows: DataFrame) -> DataFrame:
+    """One row: counts, metadata sizes, content-type histogram, share enriched without error, average length."""
+    return facts_stats(rows.select(*enrichment_facts()))
+
+
+def facts_stats(facts: DataFrame) -> DataFrame:
+    """The statistics from the columns of :func:`enrichment_facts`."""
+    parts = facts.groupBy("kind").agg(
+        F.count("*").alias("n"), F.sum("meta_size").alias("size"), F.sum("len").alias("len"), F.sum("enriched").alias("ok")
+    )
     n, size = F.sum("n"), F.sum("size")
     return parts.agg(
         F.coalesce(n, F.lit(0)).alias("total_chunks"),
         F.coalesce(size, F.lit(0)).alias("total_metadata_size"),
         F.coalesce(round_half_up(F.try_divide(size, n)), F.lit(0)).alias("average_metadata_size"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("content_types"),
-        F.coalesce(F.try_divide(n, n), F.lit(0.0)).alias("enrichment_success"),
+        F.coalesce(F.try_divide(F.sum("ok"), n), F.lit(0.0)).alias("enrichment_success"),
         F.coalesce(F.try_divide(F.sum("len"), n), F.lit(0.0)).alias("average_content_length"),
     )

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import cut_lineage
+
 #: Heaviest keys joined by broadcast. This fixed number of rows is the bound on
 #: what is broadcast; any other key holds less than 1/1000 of the rows.
 HOT_KEYS = 1000
@@ -100,19 +102,19 @@ def variance_pop(n: Column, total: Column, squares: Column) -> Column:
     ).otherwise(F.lit(0.0))
 
 
-def value_at_ranks(values: DataFrame, column: str, fractions: dict[str, float]) -> DataFrame:
+def histogram(values: DataFrame, column: str) -> DataFrame:
+    """Each value (v) that is not null with its count (n), made once and kept."""
+    v = F.col(column)
+    return cut_lineage(values.where(v.isNotNull()).groupBy(v.cast("long").alias("v")).agg(F.count("*").alias("n")))
+
+
+def value_at_ranks(hist: DataFrame, fractions: dict[str, float]) -> DataFrame:
     """One row with sorted[floor(n * f)] for each fraction, and the midpoint median.
 
-    Values are first counted, so equal values are one row. The running count is
+    ``hist`` counts the values, see :func:`histogram`. The running count is
     taken in ranges of 1024 values, plus one running count over the ranges.
     """
-    v = F.col(column)
-    hist = (
-        values.where(v.isNotNull())
-        .groupBy(v.cast("long").alias("v"))
-        .agg(F.count("*").alias("n"))
-        .withColumn("r", F.floor(F.col("v") / 1024))
-    )
+    hist = hist.withColumn("r", F.floor(F.col("v") / 1024))
     ranges = hist.groupBy("r").agg(F.sum("n").alias("rn"))
     all_ranges = W.orderBy("r")
     # One row per 1024 distinct values: text lengths below 50 M make at most 51,200 rows.

@@ -119,7 +119,7 @@ def expand_frontier(
         layer = cut_lineage(decided)
         if layer.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(layer))
+        seen = seen.unionByName(layer)  # layers are kept; nothing is written twice
     return seen
 
 

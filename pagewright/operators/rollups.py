@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import ratio, round_half_up
+from ..session import cut_lineage
 from .chunking import chunk_stats
-from .enrich import enrichment_stats
+from .enrich import enrichment_facts, facts_stats
 from .tokens import batch_totals, token_distribution
 
 SUCCESS = "success"
@@ -74,7 +75,12 @@ def crawl_rates(pages: DataFrame, seconds: float | Column) -> DataFrame:
 
 
 def stage_stats(chunks: DataFrame, key: str, original_length: str, include_enrichment: bool = True) -> DataFrame:
-    """Per document: chunk statistics; and the corpus-wide stages as (stage, metric, value) rows."""
+    """The corpus-wide stages as (stage, metric, value) rows.
+
+    ``chunks`` are read once: what the stages need of a row is narrow and kept.
+    """
+    facts = [F.col(c) for c in (key, original_length, "length", "overlap_start", "overlap_end", "tokens", "word_count", "cost")]
+    chunks = cut_lineage(chunks.select(*facts, *(enrichment_facts() if include_enrichment else [])))
     per_doc = chunk_stats(chunks, key, original_length)
     chunking = per_doc.agg(
         F.sum("total_chunks").cast("double").alias("total_chunks"),
@@ -84,7 +90,7 @@ def stage_stats(chunks: DataFrame, key: str, original_length: str, include_enric
     )
     stages = [("chunking", chunking), ("tokenization", batch_totals(chunks)), ("distribution", token_distribution(chunks))]
     if include_enrichment:
-        stages.append(("enrichment", enrichment_stats(chunks).drop("content_types")))
+        stages.append(("enrichment", facts_stats(chunks).drop("content_types")))
     out = None
     for stage, df in stages:
         long = df.select([F.col(c).cast("double") for c in df.columns]).unpivot(

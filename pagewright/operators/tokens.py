@@ -10,10 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import tokens as K
 from ..functions.core import round_half_up
-from .keyed import attach_by_key, value_at_ranks, variance_pop
-
-#: A price table up to this many rows is broadcast, a larger one is joined by shuffle.
-PRICE_ROWS_TO_BROADCAST = 10_000
+from .keyed import attach_by_key, histogram, value_at_ranks, variance_pop
 
 
 def with_tokens(
@@ -48,15 +45,13 @@ def with_token_columns(
 
 
 def price_join(rows: DataFrame, prices: DataFrame) -> DataFrame:
-    """Left join on ``model`` with a price table (model, usd_per_1k); unknown models cost 0."""
-    small = prices.limit(PRICE_ROWS_TO_BROADCAST + 1).count() <= PRICE_ROWS_TO_BROADCAST
-    if small:
-        joined = rows.join(F.broadcast(prices), "model", "left")
-    else:
-        weights = rows.groupBy("model").agg(F.count("*").alias("_n"))
-        joined = attach_by_key(
-            rows, prices.join(weights, "model"), ["model"], "_n", ["usd_per_1k"], ["tokens"]
-        )
+    """Left join on ``model`` with a price table (model, usd_per_1k); unknown models cost 0.
+
+    A model with several prices takes the highest. The join is left to adaptive execution,
+    which broadcasts a small table and splits a model that holds very many rows.
+    """
+    once = prices.groupBy("model").agg(F.max("usd_per_1k").alias("usd_per_1k"))
+    joined = rows.join(once, "model", "left")
     price = F.coalesce("usd_per_1k", F.lit(0.0))
     return joined.withColumn("cost", K.cost("tokens", price)).drop("usd_per_1k")
 
@@ -126,10 +121,11 @@ def batch_totals(rows: DataFrame) -> DataFrame:
 
 def token_distribution(rows: DataFrame) -> DataFrame:
     """Median, lower and upper quartile by rank, population variance and deviation."""
-    n, t = F.count("*"), F.col("tokens").cast("long")
-    variance = variance_pop(n, F.sum(t), F.sum(t * t))
-    moments = rows.agg(variance.alias("variance"), F.sqrt(variance).alias("standard_deviation"))
-    ranks = value_at_ranks(rows, "tokens", {"q1": 0.25, "q3": 0.75})
+    hist = histogram(rows, "tokens")  # all follows from it, so the rows are read once
+    n, v = F.col("n"), F.col("v")
+    variance = variance_pop(F.coalesce(F.sum("n"), F.lit(0)), F.sum(v * n), F.sum(v * v * n))
+    moments = hist.agg(variance.alias("variance"), F.sqrt(variance).alias("standard_deviation"))
+    ranks = value_at_ranks(hist, {"q1": 0.25, "q3": 0.75})
     # two tables of one row each, put side by side without a join
     both = ranks.unionByName(moments, allowMissingColumns=True)
     return both.agg(*[F.max(c).alias(c) for c in both.columns])

@@ -288,6 +288,30 @@ def custom_enrichers(spark, d):
     )
 
 
+@query(
+    "enricher_faults",
+    f"""SELECT doc_id, chunk_index, CASE WHEN chunk_index % 7 = 3 THEN 'Custom enricher failed: no line ' || chunk_index ELSE '' END AS error,
+        CASE WHEN chunk_index % 7 = 3 THEN 'release=v1' WHEN chunk_index % 2 = 0 THEN 'n=' || length(content) ELSE 'n=' || length(content) || ',release=v1' END AS custom
+        FROM {LINES}""",
+)
+def enricher_faults(spark, d):
+    """A Python enricher that raises on some rows, and removes a key on others."""
+
+    def sized(content, so_far, index):
+        if index % 7 == 3:
+            raise ValueError(f"no line {index}")
+        if index % 2 == 0:
+            so_far.pop("release")
+        return so_far | {"n": len(content)}
+
+    base = F.create_map(F.lit("release"), F.lit("v1"))
+    rows = enriched_lines(spark, d, custom=base, enrichers=[E.python_enricher(sized)])
+    pairs = F.transform(F.array_sort(F.map_entries("custom")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return rows.select(
+        "doc_id", *longs("chunk_index"), F.coalesce("processing.error", F.lit("")).alias("error"), F.array_join(pairs, ",").alias("custom")
+    )
+
+
 @query(
     "metadata_size_limit",
     f"SELECT doc_id, chunk_index, length(content) < 600 AS has_structure, CASE WHEN length(content) < 600 THEN 1 ELSE 0 END::BIGINT AS custom_keys FROM {LINES} WHERE length(content) < 600 OR length(content) > 1200",
@@ -554,12 +578,39 @@ def run_rates(spark, d):
     return R.crawl_rates(document_rollup(spark, d).withColumn("status", _status()), 7.0)
 
 
-@query("stage_statistics")
+_STAGES = f"""WITH c AS (SELECT l.doc_id, l.chunk_index, l.content, l.length, l.overlap_start, l.overlap_end, l.length // 4 AS tokens, w.word_count
+        FROM {LOCATED} l JOIN {COUNTED} w ON l.doc_id = w.doc_id AND l.chunk_index = w.chunk_index),
+    s AS (SELECT tokens, row_number() OVER (ORDER BY tokens) - 1 AS r, count(*) OVER () AS n FROM c),
+    moments AS (SELECT (count(*) * sum(tokens * tokens) - sum(tokens) * sum(tokens))::DOUBLE / (count(*)::DOUBLE * count(*)::DOUBLE) AS v FROM c)
+    SELECT 'chunking' AS stage, 'total_chunks' AS metric, count(*)::DOUBLE AS value FROM c
+    UNION ALL SELECT 'chunking', 'max_chunk_size', max(length)::DOUBLE FROM c
+    UNION ALL SELECT 'chunking', 'min_chunk_size', min(length)::DOUBLE FROM c
+    UNION ALL SELECT 'chunking', 'overlap_chars', sum(overlap_start + overlap_end)::DOUBLE FROM c
+    UNION ALL SELECT 'tokenization', 'total_tokens', sum(tokens)::DOUBLE FROM c
+    UNION ALL SELECT 'tokenization', 'total_characters', sum(length)::DOUBLE FROM c
+    UNION ALL SELECT 'tokenization', 'total_words', sum(word_count)::DOUBLE FROM c
+    UNION ALL SELECT 'tokenization', 'min_tokens', min(tokens)::DOUBLE FROM c
+    UNION ALL SELECT 'tokenization', 'max_tokens', max(tokens)::DOUBLE FROM c
+    UNION ALL SELECT 'distribution', 'q1', max(CASE WHEN r = floor(n * 0.25) THEN tokens END)::DOUBLE FROM s
+    UNION ALL SELECT 'distribution', 'q3', max(CASE WHEN r = floor(n * 0.75) THEN tokens END)::DOUBLE FROM s
+    UNION ALL SELECT 'distribution', 'variance', v FROM moments
+    UNION ALL SELECT 'distribution', 'standard_deviation', sqrt(v) FROM moments
+    UNION ALL SELECT 'enrichment', 'total_chunks', count(*)::DOUBLE FROM c
+    UNION ALL SELECT 'enrichment', 'enrichment_success', 1.0::DOUBLE
+    UNION ALL SELECT 'enrichment', 'average_content_length', sum(length)::DOUBLE / count(*)::DOUBLE FROM c"""
+_STAGE_METRICS = (
+    "total_chunks", "max_chunk_size", "min_chunk_size", "overlap_chars", "total_tokens", "total_characters", "total_words",
+    "min_tokens", "max_tokens", "q1", "q3", "variance", "standard_deviation", "enrichment_success", "average_content_length",
+)
+
+
+@query("stage_statistics", _STAGES)
 def stage_statistics(spark, d):
-    """Chunking, token and distribution statistics of the corpus as long rows."""
-    rows = TK.with_token_columns(C.locate_chunks(lines(spark, d), "doc_id", OVERLAP).withColumn(
-        "tokens", F.floor(F.length("content") / 4).cast("int")), "content")
-    return R.stage_stats(rows, "doc_id", "n_chars", include_enrichment=False)
+    """Chunking, token, distribution and enrichment statistics of the corpus as long rows, those that SQL can state."""
+    rows = TK.with_token_columns(enriched_lines(spark, d).withColumn("tokens", F.floor(F.length("content") / 4).cast("int")), "content")
+    stats = R.stage_stats(rows, "doc_id", "n_chars")
+    moments = F.col("metric").isin("variance", "standard_deviation") & (F.col("stage") == "tokenization")
+    return stats.where(F.col("metric").isin(*_STAGE_METRICS) & ~moments)
 
 
 @query(

@@ -6,6 +6,7 @@ import statistics
 from pyspark.sql import functions as F
 
 from pagewright.functions import urls as U
+from pagewright.operators import enrich as E
 from pagewright.operators import keyed
 from pagewright.operators import links as L
 from pagewright.operators import tokens as TK
@@ -89,13 +90,24 @@ def test_equal_edges_do_not_share_a_count(spark):
     assert [r.copies for r in got] == [3] * 6 + [0, 1]
 
 
-def test_price_join_with_and_without_broadcast(spark, monkeypatch):
+def test_price_join_keeps_each_row_once(spark):
     rows = spark.createDataFrame([(i, m, 1000) for i, m in enumerate(["a", "a", "b", "zz"])], "id int, model string, tokens int")
-    prices = spark.createDataFrame([("a", 0.5), ("b", 0.25), ("c", 1.0)], "model string, usd_per_1k double")
-    for bound in (10_000, 1):
-        monkeypatch.setattr(TK, "PRICE_ROWS_TO_BROADCAST", bound)
-        got = {r.id: r.cost for r in TK.price_join(rows, prices).collect()}
-        assert got == {0: 0.5, 1: 0.5, 2: 0.25, 3: 0.0}
+    prices = spark.createDataFrame([("a", 0.5), ("b", 0.25), ("c", 1.0), ("a", 0.4), (None, 9.0)], "model string, usd_per_1k double")
+    got = sorted((r.id, r.cost) for r in TK.price_join(rows, prices).collect())
+    assert got == [(0, 0.5), (1, 0.5), (2, 0.25), (3, 0.0)]
+
+
+def test_enrichment_success_leaves_out_failed_rows(spark):
+    def fail_on_odd(content, so_far, index):
+        return {"n": 1 // (1 - index % 2)}
+
+    rows = spark.createDataFrame([(i, "text " * 9) for i in range(6)] + [(6, None)], "chunk_index int, content string")
+    rows = rows.selectExpr("*", "'http://x.org/' AS url", "7 AS total_chunks", "length(content) AS length")
+    done = E.enrich(rows, F.current_timestamp(), enrichers=[E.python_enricher(fail_on_odd)])
+    errors = {r.chunk_index: r.processing.error for r in done.collect()}
+    assert errors[0] is None and "division" in errors[1] and errors[6] == "content must be a string"
+    stats = E.enrichment_stats(done).first()
+    assert (stats.total_chunks, stats.enrichment_success) == (7, 3 / 7)
 
 
 def test_streamed_windows_equal_batch(spark):
