@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.core import is_blank, round_half_up
 from ..functions.splitting import split_column
+from ..session import cut_lineage
 from .keyed import attach_by_key, positions, variance_pop
 
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -92,7 +93,7 @@ def document_warnings(docs: DataFrame, text: str) -> DataFrame:
 
 def locate_chunks(chunks: DataFrame, key: str, overlap: int) -> DataFrame:
     """Totals, flags and overlap estimates for a table of (key, chunk_index, content)."""
-    totals = chunks.groupBy(key).agg(F.count("*").alias("total_chunks"))
+    totals = cut_lineage(chunks.groupBy(key).agg(F.count("*").alias("total_chunks")))
     rows = attach_by_key(chunks, totals, [key], "total_chunks", ["total_chunks"], ["chunk_index"])
     return with_positions(rows.withColumn("length", F.length("content")), overlap)
 

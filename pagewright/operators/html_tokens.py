@@ -15,11 +15,12 @@ from pyspark.sql import Window as W
 
 # Comments; whole script and style elements; tags, where a quoted attribute may
 # hold ">"; other "<" constructs; text; a stray "<". Every branch after "=" is
-# told apart by its next character, so a truncated tag does not backtrack.
+# told apart by its next character, so a truncated tag does not backtrack; the loop
+# over attributes is possessive, which Java runs without recursion however many there are.
 TOKEN = (
     r"(?is)<!--.*?-->"
     r"|<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)"
-    r"""|</?[a-z][^>=]*(?:=\s*"[^"]*"[^>=]*|=\s*'[^']*'[^>=]*|=\s*[^\s"'>=][^>=]*|=\s*){0,200}>"""
+    r"""|</?[a-z][^>=]*(?:=\s*"[^"]*"[^>=]*|=\s*'[^']*'[^>=]*|=\s*[^\s"'>=][^>=]*|=\s*)*+>"""
     r"|</?[a-z][^>]*>|<[/!?][^>]*>|[^<]+|<"
 )
 TAG_NAME = r"^</?([a-zA-Z][a-zA-Z0-9:\-]*)"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import tokens as K
 from ..functions.core import round_half_up
+from ..session import cut_lineage
 from .keyed import attach_by_key, histogram, value_at_ranks, variance_pop
 
 
@@ -69,7 +70,8 @@ def count_with_reuse(
     rows does not land in one task. ``spread_by`` names columns that identify a row.
     """
     keyed = rows.withColumn("_key", F.sha2(F.col(text), 256))
-    distinct = (
+    # Kept, since both sides of the look-up read it: each text is counted once.
+    distinct = cut_lineage(
         keyed.where(F.col(text).isNotNull())
         .groupBy("_key")
         .agg(F.any_value(text).alias("_text"), F.count("*").alias("_n"))

@@ -27,8 +27,14 @@ def pages(spark, d):
     return read_pages(spark, f"{d}/pages.parquet")
 
 
-_TOKENS = f"""(SELECT page_id, pos - 1 AS pos, toks[pos] AS raw FROM (SELECT page_id, regexp_extract_all(html, {D.q(HT.TOKEN)}) AS toks,
-    unnest(range(1, len(regexp_extract_all(html, {D.q(HT.TOKEN)})) + 1)) AS pos FROM {PAGES}))"""
+# Tokens by the rules, written for DuckDB's engine: a comment, a whole script or style element, a tag whose
+# quoted attributes may hold ">", any other "<...>", text up to the next "<", or a "<" alone.
+_TOKEN = (
+    r"(?is)<!--.*?-->|<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)"
+    r"""|</?[a-z][^>=]*(?:=\s*(?:"[^"]*"|'[^']*'|[^\s"'>=]|)[^>=]*)*>|</?[a-z][^>]*>|<[/!?][^>]*>|[^<]+|<"""
+)
+_TOKENS = f"""(SELECT page_id, pos - 1 AS pos, toks[pos] AS raw FROM (SELECT page_id, regexp_extract_all(html, {D.q(_TOKEN)}) AS toks,
+    unnest(range(1, len(regexp_extract_all(html, {D.q(_TOKEN)})) + 1)) AS pos FROM {PAGES}))"""
 _TAG = f"lower({D.ext('raw', HT.TAG_NAME, 1)})"
 
 
@@ -107,8 +113,8 @@ def fallback_content(spark, d):
 
 # Markdown of these pages: headings, paragraphs, breaks, nothing else that writes.
 _PREP = f"(SELECT *, {D.steps('content', M.PRE_STEPS)} AS prepared FROM {_CONTENT})"
-_MTOK = f"""(SELECT page_id, pos, toks[pos] AS raw FROM (SELECT page_id, regexp_extract_all(prepared, {D.q(HT.TOKEN)}) AS toks,
-    unnest(range(1, len(regexp_extract_all(prepared, {D.q(HT.TOKEN)})) + 1)) AS pos FROM {_PREP}))"""
+_MTOK = f"""(SELECT page_id, pos, toks[pos] AS raw FROM (SELECT page_id, regexp_extract_all(prepared, {D.q(_TOKEN)}) AS toks,
+    unnest(range(1, len(regexp_extract_all(prepared, {D.q(_TOKEN)})) + 1)) AS pos FROM {_PREP}))"""
 _ESC = D.steps(D.sub(D.decode("raw"), r"[ \t\r\n]+", " "), MD.ESCAPES)
 _FRAG = f"""CASE WHEN depth > 0 OR tag IN ('nav', 'footer') OR raw LIKE '<!%' THEN '' WHEN tag = '' THEN {_ESC} WHEN raw = '<h1>' THEN {D.q(chr(10) * 2 + '# ')}
     WHEN tag = 'br' THEN {D.q(MD.BREAK + chr(10))} WHEN tag = 'b' THEN '' ELSE {D.q(chr(10) * 2)} END"""

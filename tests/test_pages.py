@@ -124,3 +124,9 @@ def test_pages_that_share_an_id_or_have_none(spark):
     assert (short.error_stage, short.error) == ("extraction", "Page content is empty or too short")
     ids = sorted((str(r.page_id), r.title) for r in page_content(df).collect())
     assert ids == sorted((str(i), t) for (i, _, _), t in zip(rows, ["Alpha", "Beta", "Gamma", "Delta", "Epsilon", "Gamma", "x.org"]))
+
+
+def test_a_tag_with_very_many_attributes_is_one_token(spark):
+    many = " ".join(f'data-a{i}="x > {i}"' for i in range(5000))
+    df = spark.createDataFrame([(1, f"<p {many}>text</p>")], "page_id long, html string")
+    assert [r.raw for r in tokenize(df).orderBy("pos").collect()] == [f"<p {many}>", "text", "</p>"]
