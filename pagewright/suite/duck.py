@@ -6,8 +6,6 @@ import re
 
 from ..functions import html as H
 from ..functions import markdown as M
-from ..functions import text as T
-from ..functions import urls as U
 from ..functions import core
 from ..functions.core import EDGE_WS, NON_WS, WS
 
@@ -62,26 +60,34 @@ def case_join(*pairs: tuple[str, str]) -> str:
     return f"array_to_string(list_filter([{items}], lambda x: x IS NOT NULL), '; ')"
 
 
-# URLs
+# URLs: scheme, user part, host (a name or a bracketed address), port, path, query, fragment
+_URL = (
+    "^([hH][tT][tT][pP][sS]?)://((?:[^/?#@[:space:]]*@)?)([[][0-9a-fA-F:.]+[]]|[^]/?#:@[[:space:]]+)(?::([0-9]*))?"
+    "((?:/[^?#]*)?)((?:[?][^#]*)?)(?:#.*)?$"
+)
+# Characters that are carried percent-encoded: outside printable ASCII, and a few within.
+_UNSAFE = "[^!-~]|[\"<>`{}]"
+
+
 def u_valid(x):
-    return f"coalesce({has(x, U.URL_PATTERN)}, false)"
+    return f"coalesce({has(x, _URL)}, false)"
 
 
 def u_scheme(x):
-    return f"lower({ext(x, U.URL_PATTERN, 1)})"
+    return f"lower({ext(x, _URL, 1)})"
 
 
 def u_host(x):
-    return f"coalesce(lower({ext(x, U.URL_PATTERN, 3)}), '')"
+    return f"coalesce(lower({ext(x, _URL, 3)}), '')"
 
 
 def u_path(x):
-    p = ext(x, U.URL_PATTERN, 5)
+    p = ext(x, _URL, 5)
     return f"CASE WHEN {u_valid(x)} THEN CASE WHEN {p} = '' THEN '/' ELSE {p} END ELSE '' END"
 
 
 def u_port(x):
-    p = ext(x, U.URL_PATTERN, 4)
+    p = ext(x, _URL, 4)
     return (
         f"CASE WHEN {p} = '' OR {p} = CASE WHEN {u_scheme(x)} = 'https' THEN '443' ELSE '80' END "
         f"THEN '' ELSE ':' || {p} END"
@@ -94,22 +100,22 @@ def u_origin(x):
 
 def u_encode(x):
     return (
-        f"array_to_string(list_transform(str_split({x}, ''), lambda ch: CASE WHEN {has('ch', U.UNSAFE_CHAR)} "
+        f"array_to_string(list_transform(str_split({x}, ''), lambda ch: CASE WHEN {has('ch', _UNSAFE)} "
         f"THEN {sub('hex(ch)', '(..)', '%$1')} ELSE ch END), '')"
     )
 
 
 def u_norm(x):
     """Normal form (the test tables hold no dot segments)."""
-    query = sub(ext(x, U.URL_PATTERN, 6), r"^\?$")
+    query = sub(ext(x, _URL, 6), r"^\?$")
     return (
-        f"CASE WHEN {u_valid(x)} THEN {u_scheme(x)} || '://' || {ext(x, U.URL_PATTERN, 2)} || {u_host(x)} || "
+        f"CASE WHEN {u_valid(x)} THEN {u_scheme(x)} || '://' || {ext(x, _URL, 2)} || {u_host(x)} || "
         f"{u_port(x)} || {u_encode(u_path(x))} || {u_encode(query)} ELSE {x} END"
     )
 
 
 def u_drop(x):
-    rx = U.param_pattern(U.DROPPED_PARAMS)
+    rx = "^(utm_[^=]*|ref|source)(=|$)"
     kept = (
         f"array_to_string(list_filter(str_split({ext(x, r'^[^?#]*[?]([^#]*)', 1)}, '&'), "
         f"lambda p: p <> '' AND NOT {has('p', rx)}), '&')"
@@ -126,10 +132,25 @@ def u_depth(x):
     )
 
 
+# What each glob of the checked queries means, written by hand. A last slash does not count.
+GLOBS = {
+    "**": "true",
+    "https://**": "{x} LIKE 'https://%'",
+    "http://www.*/en/**": "regexp_matches({x}, '^http://www[.][^/]*/en/')",
+    # two stars count as one unless they stand alone between slashes
+    "http://{blog,m}.**": "regexp_matches({x}, '^http://(blog|m)[.][^/]*$')",
+    "**/*.html": "regexp_matches({x}, '/[^/]*[.]html/?$')",
+    "**/{es,fr}/[1-4]*": "regexp_matches({x}, '/(es|fr)/[1-4][^/]*/?$')",
+} | {
+    f"**/*.{e}": "rtrim({x}, '/') LIKE '%." + e + "'"
+    for e in ("pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "zip", "tar.gz", "exe", "dmg")
+}
+
+
 def globs(x, patterns):
     if not patterns:
         return "false"
-    return "(" + " OR ".join(has(x, U.glob_to_regex(g)) for g in patterns) + ")"
+    return "(" + " OR ".join(GLOBS[g].format(x=x) for g in patterns) + ")"
 
 
 def admission(x, depth, max_depth, include, exclude):
@@ -194,7 +215,11 @@ def plain(x):
 
 
 def clean(x):
-    return steps(x, T.CLEAN_STEPS)
+    """Line ends, runs of blanks, runs of empty lines, then an empty line around headings and fences."""
+    x = f"replace(replace({x}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    x = sub(sub(x, "[ \t]+", " "), "\n\n\n\n+", "\n\n\n")
+    x = sub(sub(x, f"([^\n])\n(######{WS}|#####{WS}|####{WS}|###{WS}|##{WS}|#{WS})", "$1\n\n$2"), "(#[^\n]*)\n([^\n#])", "$1\n\n$2")
+    return sub(sub(x, "([^\n])\n```", "$1\n\n```"), "```\n([^\n])", "```\n\n$1")
 
 
 def words(x):
@@ -207,8 +232,26 @@ def sentences(x):
     return f"len(list_filter(string_split_regex({x}, '[.!?]+'), lambda s: {has('s', NON_WS)}))"
 
 
+def _lines(x, condition):
+    """How many lines of a text meet a condition on ``l``."""
+    return f"len(list_filter(str_split({x}, chr(10)), lambda l: {condition}))"
+
+
 def struct_counts(x):
-    return {k: cnt(x, rx) for k, rx in T.STRUCTURE_PATTERNS.items()}
+    """Counts line by line, where the functions search the whole text."""
+    bare = f"ltrim(l, ' ' || chr(9) || chr(13) || chr(160))"
+    counts = {f"h{n}": _lines(x, f"starts_with(l, '{'#' * n} ')") for n in range(1, 7)}
+    counts["headings"] = "(" + " + ".join(counts.values()) + ")"
+    return counts | {
+        "unordered": _lines(x, " OR ".join(f"starts_with({bare}, '{c} ')" for c in "-*+")),
+        "ordered": _lines(x, f"regexp_matches({bare}, '^[0-9]+[.] ')"),
+        "fences": f"((length({x}) - length(replace({x}, '```', ''))) // 3)",
+        "inline_code": cnt(x, "`[^`]+`"),
+        "links": cnt(x, r"\[[^\]]*\]\([^)]*\)"),
+        "images": cnt(x, r"!\[[^\]]*\]\([^)]*\)"),
+        "tables": _lines(x, "length(l) - length(replace(l, '|', '')) >= 2"),
+        "blockquotes": _lines(x, "starts_with(l, '>')"),
+    }
 
 
 def content_type(x):
