@@ -131,12 +131,13 @@ def chunk_split_by_tokens(spark, d):
 
 @query(
     "chunk_blank_documents",
-    f"""SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'chunking_failed' ELSE 'success' END AS status,
-        CASE WHEN doc_id % 50 = 0 THEN 'Input text is empty' ELSE '' END AS warnings FROM documents WHERE length(trim(text)) > 0""",
+    """SELECT doc_id, CASE WHEN doc_id % 50 = 0 OR blank THEN 'chunking_failed' ELSE 'success' END AS status,
+        CASE WHEN doc_id % 50 = 0 OR blank THEN 'Input text is empty' ELSE '' END AS warnings
+        FROM (SELECT doc_id, NOT regexp_matches(coalesce(text, ''), '[^[:space:]]') AS blank FROM documents)""",
 )
 def chunk_blank_documents(spark, d):
     """Blank documents give no chunks, a warning and a failed status."""
-    docs = read_table(spark, d, "documents").where(F.length(F.trim("text")) > 0).select(
+    docs = read_table(spark, d, "documents").select(
         "doc_id", F.when(F.col("doc_id") % 50 == 0, " \n ").otherwise(F.col("text")).alias("text")
     )
     counts = C.chunk_documents(docs, "text").groupBy("doc_id").agg(F.count("*").alias("n"))
@@ -314,16 +315,16 @@ def enricher_faults(spark, d):
 
 @query(
     "metadata_size_limit",
-    f"SELECT doc_id, chunk_index, length(content) < 600 AS has_structure, CASE WHEN length(content) < 600 THEN 1 ELSE 0 END::BIGINT AS custom_keys FROM {LINES} WHERE length(content) < 600 OR length(content) > 1200",
+    f"""SELECT doc_id, chunk_index, length(content) % 2 = 0 AS has_structure, CASE WHEN length(content) % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS custom_keys
+        FROM {LINES}""",
 )
 def metadata_size_limit(spark, d):
-    """A custom field as long as the text pushes long rows over a limit of 1,900 characters."""
-    def copy(content, so_far, index):
-        return F.create_map(F.lit("copy"), F.repeat(F.lit("x"), F.length(content)))
+    """A long custom field pushes the rows with texts of odd length over a limit of 5,000 characters."""
+    def pad(content, so_far, index):
+        return F.create_map(F.lit("pad"), F.repeat(F.lit("x"), F.length(content) % 2 * 5000))
 
-    rows = enriched_lines(spark, d, enrichers=[copy], max_metadata_size=1900)
-    n = F.length("content")
-    return rows.where((n < 600) | (n > 1200)).select(
+    rows = enriched_lines(spark, d, enrichers=[pad], max_metadata_size=5000)
+    return rows.select(
         "doc_id", *longs("chunk_index"),
         F.col("content_meta.structure").isNotNull().alias("has_structure"),
         F.size("custom").cast("long").alias("custom_keys"),
@@ -501,15 +502,16 @@ def token_reuse_equals_direct(spark, d):
 
 @query(
     "token_bad_text",
-    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Invalid text format' WHEN doc_id % 3 = 1 THEN 'Empty text provided'
-        ELSE '' END AS warnings, doc_id % 3 = 2 AS counted FROM documents""",
+    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR text IS NULL THEN 'Invalid text format' WHEN doc_id % 3 = 1 OR text = '' THEN 'Empty text provided'
+        ELSE '' END AS warnings, doc_id % 3 = 2 AND regexp_matches(coalesce(text, ''), '[^[:space:]]') AS counted FROM documents""",
 )
 def token_bad_text(spark, d):
     """NULL text gets a zero row with a message; the batch goes on."""
     k = F.col("doc_id") % 3
-    docs = read_table(spark, d, "documents").select("doc_id", F.when(k == 1, "").when(k == 2, F.lit("one two three")).alias("content"))
-    return TK.with_tokens(docs).select(
-        "doc_id", F.array_join("token_warnings", "; ").alias("warnings"), (F.col("tokens") > 0).alias("counted")
+    text = F.when((k == 1) & F.col("text").isNotNull(), "").when(k == 2, F.col("text"))
+    bad = F.filter("token_warnings", lambda w: w.isin("Invalid text format", "Empty text provided"))
+    return TK.with_tokens(read_table(spark, d, "documents").select("doc_id", text.alias("content"))).select(
+        "doc_id", F.array_join(bad, "; ").alias("warnings"), (F.col("tokens") > 0).alias("counted")
     )
 
 

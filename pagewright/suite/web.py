@@ -225,19 +225,20 @@ def page_run_statistics(spark, d):
     return spark.read.json(path).select(*longs(*names))
 
 
-@query("page_record_schema", "SELECT 11 AS fields, true AS same")
+@query(
+    "page_record_schema",
+    f"""SELECT url, CASE WHEN error IS NULL THEN 'success' ELSE 'extraction_failed' END AS status, error IS NULL AS has_chunks, 11::BIGINT AS fields
+        FROM {_STATUS.replace('600', '100').replace('4000', '1000000')}""",
+)
 def page_record_schema(spark, d):
-    """The records of the page job, read back with the declared schema."""
-    results = page_results(spark, d)
-    declared = spark.createDataFrame([], sinks.PAGE_RESULT_SCHEMA).schema
-
-    def plain(s):
-        return s.simpleString()
-
-    same = plain(declared) == plain(results.schema)
-    n = len(results.columns)
-    return results.agg(
-        F.max(F.lit(n)).alias("fields"), (F.lit(same) & (F.count("*") > 0)).alias("same")
+    """The records of the page job, written, and read back by the declared schema."""
+    path = work_dir(spark, "page-records")
+    page_results(spark, d).write.parquet(path)
+    back = spark.read.schema(sinks.PAGE_RESULT_SCHEMA).parquet(path)
+    # Chunks carry their text and their metadata as declared.
+    whole = F.forall("chunks", lambda c: c["content"].isNotNull() & c["metadata"]["source"]["url"].isNotNull())
+    return back.select(
+        "url", "status", ((F.size("chunks") > 0) & whole).alias("has_chunks"), F.lit(len(back.columns)).cast("long").alias("fields")
     )
 
 
