@@ -13,8 +13,9 @@ from ..operators import html_tokens as HT
 from ..operators import links as L
 from ..operators import markdown as MD
 from ..operators import rollups as R
+from ..plans import crawl as CR
 from ..plans import pages as P
-from ..session import work_dir
+from ..session import cut_lineage, work_dir
 from ..sources import sinks
 from ..sources.tables import read_pages, read_table
 from . import duck as D
@@ -358,6 +359,22 @@ def link_frontier_filtered(spark, d):
     return reached.select("url", *longs("depth"), "decision")
 
 
+@query(
+    "seeded_run",
+    f"""WITH run AS (SELECT url, depth FROM ({_REACH}) WHERE decision = 'allowed' ORDER BY depth, url LIMIT 20)
+        SELECT r.url, r.depth, CASE WHEN s.error IS NULL THEN 'success' ELSE 'extraction_failed' END AS status
+        FROM run r JOIN (SELECT *, {D.u_norm('url')} AS norm FROM {_STATUS}) s ON s.norm = r.url""",
+)
+def seeded_run(spark, d):
+    """Seeds over links, globs, depth and budget to the state of the visited pages."""
+    stored = pages(spark, d)
+    seeds = stored.where(F.col("page_id").isin(0, 3)).select("url")
+    p = P.PageJobParams(crawl_depth=MAX_DEPTH, include_globs=INCLUDE, max_pages=20, min_content_length=600, max_content_length=4000)
+    visited = cut_lineage(CR.visited_urls(seeds, stored, p, links=ring_links(spark, d), exclude=("**/*.html",)))
+    done = P.page_content(CR.visited_pages(visited, stored), p).select(U.normalize("url").alias("url"), "status")
+    return visited.join(done, "url").select("url", *longs("depth"), "status")
+
+
 @query(
     "page_chunk_words",
     f"""SELECT page_id, length(markdown) AS markdown_length, {D.words(D.clean('markdown'))} AS words FROM {_STATUS.replace('600', '100').replace('4000', '1000000')} WHERE error IS NULL""",
