@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 
+from pagewright.llm.ids import release
+
 
 def byte_texts(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8 bytes; null becomes empty."""
@@ -33,6 +35,7 @@ def add_columns(df, text: str, added: str, make) -> "DataFrame":  # noqa: F821
     shape = StructType.fromDDL(added)
 
     def run(batches):
+        release()
         for b in portions(batches, 500):
             yield pa.RecordBatch.from_arrays([*b.columns, *make(byte_texts(b.column(at)))], [*names, *shape.names])
 

@@ -28,6 +28,7 @@ from pyspark.sql.types import StructType
 
 from pagewright.llm.arrow import byte_texts, portions
 from pagewright.llm.fm_index import FMIndex
+from pagewright.llm.ids import release
 from pagewright.session import cut_lineage
 
 WINDOW = 13
@@ -154,6 +155,7 @@ def _searched(documents, carried, benchmark, window, shard_words, block_chars, t
     n = len(carried)
 
     def search(batches):
+        release()
         rows, lists, filled = [], [], 0
         for b in portions(batches, 1000):
             done = 0

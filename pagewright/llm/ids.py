@@ -134,3 +134,8 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def release() -> None:
+    """Give the encoders' memory back. Spark runs tasks of other steps in the same worker processes."""
+    _ENCODERS.clear()

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.arrow import byte_texts, portions
 from pagewright.llm.components import components
+from pagewright.llm.ids import release
 from pagewright.llm.shingles import mix, set_id, shingle_set
 from pagewright.session import work_dir
 
@@ -49,6 +50,8 @@ DIMENSIONS = 128
 #: Nodes of a bucket that one tree holds.
 PAGE = 2048
 FANOUT = 16
+#: Points that descend the trees at a time: with pages this bounds the pairs a worker holds.
+QUERIES = 128
 #: Names of texts to fetch that are broadcast; more are joined by a shuffle.
 BROADCAST_NAMES = 1_000_000
 
@@ -98,6 +101,7 @@ def signatures(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Per document: doc_id, text_hash, n_shingles, node (the set's name) and its bucket keys."""
 
     def sign(batches):
+        release()
         for b in portions(batches, 500):
             n, nodes, keys = [], [], []
             for text in byte_texts(b.column(2)):
@@ -123,6 +127,7 @@ def _sets(documents: DataFrame, signed: DataFrame, nodes: DataFrame, size: int)
     texts = documents.select("text", F.xxhash64("text").alias("text_hash")).join(wanted, "text_hash", "left_semi").select("text")
 
     def make(batches):
+        release()
         for b in portions(batches, 500):
             found = [shingle_set(t, size) for t in byte_texts(b.column(0))]
             yield pa.RecordBatch.from_arrays(
@@ -179,8 +184,8 @@ class RTrees:
     def pairs(self, cross: np.ndarray):
         """Surviving pairs (row, row, bound). ``cross`` per row: only pairs of different sides count."""
         roots = np.cumsum(np.concatenate([[False], self.bucket[1:] != self.bucket[:-1]]))
-        for at in range(0, len(self.n), 1024):
-            q = np.arange(at, min(at + 1024, len(self.n)))
+        for at in range(0, len(self.n), QUERIES):
+            q = np.arange(at, min(at + QUERIES, len(self.n)))
             box = roots[q]
             for depth in range(len(self.levels) - 1, -1, -1):
                 first, ends, last, low, high, least, most, boxes = self.levels[depth]
@@ -231,6 +236,7 @@ def _bucket_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     dealt = paged.repartition(cells, "key", "i", "k").sortWithinPartitions("key", "i", "k")
 
     def search(batches):
+        release()
         held: list[pa.RecordBatch] = []
         rows = 0
         for b in portions(batches, 4096):
@@ -355,9 +361,9 @@ def node_components(documents: DataFrame, signed: DataFrame, size: int = SHINGLE
 def jaccard_components(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Per row of ``documents`` (doc_id, text): doc_id, n_shingles and component_id."""
     spark = documents.sparkSession
-    path = f"{work_dir(spark, 'jaccard-signatures')}/signed"
-    signatures(documents, size).write.parquet(path)
-    signed = spark.read.parquet(path)
+    folder = work_dir(spark, "jaccard-signatures")
+    signatures(documents, size).write.parquet(f"{folder}/signed")
+    signed = spark.read.parquet(f"{folder}/signed")
     labels = node_components(documents, signed, size)
     # A class is all that has one label; empty sets stay alone.
     classes = (
@@ -368,7 +374,9 @@ def jaccard_components(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
         .withColumn("label", F.coalesce("label", "node"))
     )
     least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_node = classes.join(least, "label").select("node", "component_id")
+    # Written, so that the last join may split the documents of a set with very many copies.
+    classes.join(least, "label").select("node", "component_id").write.parquet(f"{folder}/components")
+    of_node = spark.read.parquet(f"{folder}/components")
     return (
         signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
         .join(of_node, "node", "left")
