@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.arrow import byte_texts, portions
+from pagewright.llm.sampling import drawn
 
 UNKNOWN_DOCUMENTS, UNKNOWN_LINES, UNKNOWN_CHARS = 400, 8, 20_000
 VARIATIONS = 40
@@ -194,8 +195,8 @@ def train(documents: DataFrame, families: dict[str, list[str]] = TEMPLATES, seed
             lines += made
             y += [k] * len(made)
     other = len(families)
-    texts = documents.select("text").where(f"length(text) BETWEEN 1 AND {UNKNOWN_CHARS}").orderBy(F.xxhash64(F.lit("licence"), "text"))
-    for row in texts.limit(UNKNOWN_DOCUMENTS).collect():
+    texts = documents.select("doc_id", "text").where(f"length(text) BETWEEN 1 AND {UNKNOWN_CHARS}")
+    for row in drawn(texts, UNKNOWN_DOCUMENTS, "licence", "doc_id", of=documents.count()).collect():
         found = [x for x in paragraphs(row.text.encode()) if x]
         for words in rng.sample(found, min(UNKNOWN_LINES, len(found))):
             if all(model.resemblance(words, k)[0] < 0.5 and not model.resemblance(words, k)[2] for k in range(other)):

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.arrow import portions
 from pagewright.llm.html_blocks import Block, Element, blocks_of
 from pagewright.llm.max_flow import CutGraph
+from pagewright.llm.sampling import drawn
 
 TRAINING_PAGES, TRAINING_BLOCKS = 1000, 60
 #: Costs in logits; a smoothness edge is halved for each step between the parents of two blocks.
@@ -150,7 +151,8 @@ def main_text(html: str, model: BlockModel) -> str:
 
 def train(pages: DataFrame) -> BlockModel:
     """A model from a bounded sample of ``pages`` (html)."""
-    sample = pages.select("html").where("html IS NOT NULL").orderBy(F.xxhash64("html")).limit(TRAINING_PAGES)
+    stored = pages.select("page_id", "html").where("html IS NOT NULL")
+    sample = drawn(stored, TRAINING_PAGES, "pages", "page_id", of=pages.count()).select("html")
 
     def measure(batches):
         for b in portions(batches, 100):

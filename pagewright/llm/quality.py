@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.arrow import add_columns, byte_texts
+from pagewright.llm.sampling import drawn
 from pagewright.session import cut_lineage
 
 DICTIONARY_DOCUMENTS, DICTIONARY_CHARS, DICTIONARY_BYTES = 1500, 10_000, 110 * 1024
@@ -84,14 +85,13 @@ def train(documents: DataFrame, labels: DataFrame) -> QualityModel:
     """Fit on bounded samples of the labelled rows of folds 0 and 2."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_label"), fold_of(F.col("doc_id")).alias("_fold"))
     known = known.where(F.col("_label").isin(0, 1) & F.col("_fold").isin(0, 2))
-    drawn = F.xxhash64(F.lit("quality"), "_id")
+    sizes = {(r._fold, r._label): r["count"] for r in known.groupBy("_fold", "_label").count().collect()}
 
-    def some(rows: DataFrame, n: int) -> DataFrame:
-        return rows.orderBy(drawn, "_id", "_label").limit(n)
+    def some(n: int, fold: int, *kinds: int) -> DataFrame:
+        rows = known.where((F.col("_fold") == fold) & F.col("_label").isin(*kinds))
+        return drawn(rows, n, "quality", "_id", of=sum(sizes.get((fold, k), 0) for k in kinds))
 
-    kept = known.where("_fold = 0 AND _label = 1").transform(some, DICTIONARY_DOCUMENTS)
-    kept = kept.union(known.where("_fold = 0 AND _label = 0").transform(some, DICTIONARY_DOCUMENTS))
-    kept = kept.union(known.where("_fold = 2").transform(some, CALIBRATION_DOCUMENTS))
+    kept = some(DICTIONARY_DOCUMENTS, 0, 1).union(some(DICTIONARY_DOCUMENTS, 0, 0)).union(some(CALIBRATION_DOCUMENTS, 2, 0, 1))
     # Bounded by the three sample sizes, so small enough to broadcast.
     texts = documents.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).where("length(_text) > 0")
     sample = cut_lineage(texts.join(F.broadcast(kept), "_id").select("_id", "_label", "_fold", "_text"))

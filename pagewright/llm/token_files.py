@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.arrow import byte_texts, portions
 from pagewright.llm.ids import default_path, encoder
+from pagewright.llm.sampling import drawn
 
 MAGIC, END = b"PWTF", b"FTWP"
 _HEADER, _FOOTER = "<4sBBI32s", "<QQQQ4s"
@@ -43,13 +44,8 @@ LEVEL = 3
 
 def train_dictionary(documents: DataFrame, tokenizer: str, end_id: int) -> bytes:
     """A dictionary from the ids of a bounded sample, drawn by a hash of the doc id; empty if too little."""
-    sample = (
-        documents.select("doc_id", "text")
-        .where(F.length("text") <= SAMPLE_CHARS)
-        .orderBy(F.xxhash64(F.lit("dictionary"), "doc_id"), "doc_id")
-        .limit(SAMPLE_DOCUMENTS)
-        .select("text")
-    )
+    short = documents.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
+    sample = drawn(short, SAMPLE_DOCUMENTS, "dictionary", "doc_id", of=documents.count()).select("text")
 
     def ids(batches):
         enc = encoder(tokenizer)
