@@ -30,7 +30,7 @@ from pagewright.session import cut_lineage
 
 CAPACITY = 4096
 #: Pieces numbered in one window group; a length with more of them is numbered in several.
-GROUP_ROWS = 1000
+GROUP_ROWS = 200
 
 
 class _Stock:
