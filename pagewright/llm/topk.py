@@ -33,7 +33,7 @@ from pagewright.session import cut_lineage
 
 K = 5
 #: Vectors in a shard, and queries in a block.
-SHARD_ROWS, QUERY_BLOCK = 16_384, 512
+SHARD_ROWS, QUERY_BLOCK = 8192, 512
 #: Levels of impact in each dimension.
 LEVELS = 16
 
@@ -140,7 +140,9 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 50, vector: str = "vector
         "vec_id",
         "v",
     )
-    met = dealt.union(to_all).repartition(shards, "shard").sortWithinPartitions("shard", "block")
+    # More partitions than shards, so that few shards share one.
+    cells = max(2 * shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    met = dealt.union(to_all).repartition(cells, "shard").sortWithinPartitions("shard", "block")
 
     def search(batches):
         at, index, parts = None, {}, []

@@ -17,7 +17,7 @@ def brute(rows, k):
     return out
 
 
-@pytest.mark.parametrize("shard_rows", [7, 16_384])
+@pytest.mark.parametrize("shard_rows", [7, 8192])
 def test_against_brute_force(spark, shard_rows):
     rng = random.Random(6)
     rows = [(i, [rng.randint(-4, 4) for _ in range(6)]) for i in range(0, 400, 1)]
