@@ -121,7 +121,9 @@ def signatures(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 def _sets(documents: DataFrame, signed: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """Full sets and points of the given nodes, one row per node."""
-    wanted = signed.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("text_hash")).select("text_hash").distinct()
+    # Combined before the shuffle, so that a set with very many copies is one row.
+    one_text = signed.groupBy("node").agg(F.min("text_hash").alias("text_hash"))
+    wanted = one_text.join(nodes, "node", "left_semi").select("text_hash").distinct()
     if nodes.count() <= BROADCAST_NAMES:  # the same rows by either way
         wanted = F.broadcast(wanted)
     texts = documents.select("text", F.xxhash64("text").alias("text_hash")).join(wanted, "text_hash", "left_semi").select("text")
