@@ -18,7 +18,8 @@ CACHE_WORDS = 250_000
 
 # Chunks of these characters need no normalising beyond str.lower(), and split alike in both libraries.
 _PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*\Z")
-_PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-zß-öø-ÿ0-9]+")
+# White space is written out: the tokenizer's \s has no U+001C to U+001F, that of Python's str has.
+_PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^ \t-\ra-zß-öø-ÿ0-9]+")
 
 
 def default_path() -> str:

@@ -31,6 +31,15 @@ def test_word_caches_change_nothing(cache):
         assert [np.frombuffer(g, enc.dtype).tolist() for g in got] == want
 
 
+def test_all_low_characters_are_counted_as_by_the_tokenizer():
+    """Among them U+001C to U+001F, which are white space to str and not to bytes or the tokenizer."""
+    enc, plain = Encoder(default_path()), tokenizer()
+    low = [chr(c) for c in range(256)]
+    texts = low + [f"a{c}b" for c in low] + [f"1{c}{d}z" for c in low[:128] for d in low[:128]] + ["".join(low)]
+    for t, got in zip(texts, enc.encode([t.encode() for t in texts])):
+        assert np.frombuffer(got, enc.dtype).tolist() == plain.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
 def test_token_files_round_trip(spark, documents):
     path, plain = work_dir(spark, "test-tokens"), tokenizer()
     write_token_files(documents(rows()), path)
