@@ -97,8 +97,11 @@ def counts_of(hashes: np.ndarray) -> np.ndarray:
     return np.bincount((hashes & np.uint64(DIMENSIONS - 1)).astype(np.int64), minlength=DIMENSIONS)
 
 
-def signatures(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """Per document: doc_id, text_hash, n_shingles, node (the set's name) and its bucket keys."""
+def signatures(documents: DataFrame, size: int = SHINGLE, row: str | None = None) -> DataFrame:
+    """Per document: doc_id, text_hash, n_shingles, node (the set's name) and its bucket keys.
+
+    ``row`` names a column of row keys, which comes along as ``row_key``.
+    """
 
     def sign(batches):
         release()
@@ -110,12 +113,13 @@ def signatures(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
                 nodes.append(set_id(hashes))
                 keys.append(bucket_keys(hashes).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "text_hash", "n_shingles", "node", "keys"],
+                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), *b.columns[3:]],
+                ["doc_id", "text_hash", "n_shingles", "node", "keys", "row_key"][: 5 + bool(row)],
             )
 
-    return documents.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(
-        sign, "doc_id long, text_hash long, n_shingles long, node long, keys array<long>"
+    more = [F.col(row)] if row else []
+    return documents.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text", *more).mapInArrow(
+        sign, "doc_id long, text_hash long, n_shingles long, node long, keys array<long>" + ", row_key long" * bool(row)
     )
 
 
@@ -387,11 +391,31 @@ def jaccard_components(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def keep_one_each(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """One document of each component, the one with the least doc id, all columns as they were.
+    """One row of each component, all columns as they were: that of the least doc id, nulls last.
 
-    Rows that repeat a doc id with other text count as the documents they are; of rows equal in doc id
-    and text one stays. Components without any doc id, and empty texts, are kept whole.
+    Rows are told apart by a key of their own, so rows may share a doc id or have none: rows that repeat a
+    doc id with other text count as the documents they are. Of rows equal in doc id the one with the least
+    text hash stays, of rows equal in text too any one. Null and blank texts link with nothing and stay.
     """
-    found = jaccard_components(documents, size)
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, documents.doc_id == F.col("_gone"), "left_anti")
+    spark = documents.sparkSession
+    folder = work_dir(spark, "jaccard-rows")
+    row = "_row_key"
+    while row in documents.columns:
+        row += "_"
+    # Written, so that every later read finds the same key on the same row.
+    documents.withColumn(row, F.monotonically_increasing_id()).write.parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
+    signatures(rows, size, row).write.parquet(f"{folder}/signed")
+    signed = spark.read.parquet(f"{folder}/signed")
+    labels = node_components(rows, signed, size)
+    some = signed.where("n_shingles > 0")
+    # Combined before the shuffle, first by set and then by component.
+    best = some.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row_key")).alias("best"))
+    winners = (
+        best.join(labels, "node", "left")
+        .groupBy(F.coalesce("label", "node").alias("label"))
+        .agg(F.min("best").alias("best"))
+        .select("best.row_key")
+    )
+    gone = some.select("row_key").join(winners, "row_key", "left_anti").select(F.col("row_key").alias("_gone"))
+    return rows.join(gone, rows[row] == F.col("_gone"), "left_anti").drop(row)

@@ -69,6 +69,33 @@ def test_keep_one_each(documents):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 3, 7, 8, 9]
 
 
+def test_keep_one_each_goes_by_rows(documents):
+    """Rows that share a doc id, equal rows, and rows without a doc id."""
+    first, own, third = "a b c d e", "k l m n o p", "q r s t u"
+    rows = [(1, first), (5, first.upper()), (5, own), (6, third), (6, third), (6, third), (None, third), (None, "v w x y"), (None, "V w x y")]
+    kept = keep_one_each(documents([*rows, (2, ""), (2, ""), (None, None)])).collect()
+    got = sorted((r.doc_id or 0, (r.text or "").lower()) for r in kept)
+    assert got == [(0, ""), (0, "v w x y"), (1, first), (2, ""), (2, ""), (5, own), (6, third)]
+
+
+def test_keep_one_each_against_brute_force(documents):
+    rows = [(d if i % 7 else None, t) for i, (d, t) in enumerate(corpus(11))]
+    rows += rows[5:25] + [(rows[3][0], t) for _, t in rows[30:36]]
+    shingled = [shingles(t) for _, t in rows]
+    kept = [(r.doc_id, r.text) for r in keep_one_each(documents(rows)).collect()]
+    # Positions stand for doc ids, so that a component is a set of rows.
+    label = [least for _, _, least in brute_components([(i, t) for i, (_, t) in enumerate(rows)])]
+    want = {}
+    for i, (d, _) in enumerate(rows):
+        want.setdefault(label[i] if shingled[i] else (i,), []).append((d is None, d or 0))
+    assert sorted((d is None, d or 0) for d, _ in kept) == sorted(min(found) for found in want.values())
+    member = {}
+    for i, r in enumerate(rows):
+        if shingled[i]:
+            member.setdefault(r, set()).add(label[i])
+    assert len({frozenset(member[r]) for r in kept if shingles(r[1])}) == len({x for i, x in enumerate(label) if shingled[i]})
+
+
 def test_empty_table(documents):
     assert jaccard_components(documents([])).count() == 0
 
