@@ -232,3 +232,23 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagewright.llm.licences import scan
 
     return scan(table(spark, sf_dir, "documents"))
+
+
+_OP11_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT r, doc_id, i, l[i] AS line,
+  translate(trim(l[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT r, doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM docs)),
+often AS (SELECT key FROM lines WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(often.key) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE often.key IS NULL), '')) AS kept_sha256
+FROM lines LEFT JOIN often ON lines.key = often.key GROUP BY r, doc_id
+"""
+
+
+@query("op11_line_dedup", _OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm.line_dedup import dedup_lines
+
+    kept = dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))

@@ -70,3 +70,18 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def dedup_lines(texts, min_docs):
+    """(kept text, lines, lines dropped) of each text."""
+    white = " \t\n\x0b\f\r"
+    split = [[(line, line.strip(white).translate(_LOWER)) for line in (t or "").split("\n")] for t in texts]
+    seen = {}
+    for lines in split:
+        for key in {k for _, k in lines}:
+            seen[key] = seen.get(key, 0) + 1
+    out = []
+    for lines in split:
+        kept = [line for line, key in lines if not key or seen[key] < min_docs]
+        out.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
+    return out
