@@ -252,3 +252,22 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     kept = dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm.runs import find_runs, greatest, with_loops
+
+    docs = with_loops(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = find_runs(docs).select(F.col("_0").alias("doc_id"), "runs", "collapsed_sha256", greatest(F.col("runs")).alias("top"))
+    listed = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "top.start",
+        "top.length",
+        "top.period",
+        F.floor(F.lit(1000) * F.col("top.length") / F.col("top.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(listed, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+        "collapsed_sha256",
+    )

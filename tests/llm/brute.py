@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 
@@ -85,3 +86,44 @@ def dedup_lines(texts, min_docs):
         kept = [line for line, key in lines if not key or seen[key] < min_docs]
         out.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
     return out
+
+
+def runs(words, min_length=24, min_exponent=3):
+    """(start, length, period) of all runs, by comparing all places with those a period away."""
+    n, out = len(words), []
+    for q in range(1, n // min_exponent + 1):
+        s = None
+        for i in range(n - q + 1):
+            if i < n - q and words[i] == words[i + q]:
+                s = i if s is None else s
+            elif s is not None:
+                length = i - s + q
+                part = words[s : s + length]
+                smaller = any(part[p:] == part[:-p] for p in range(1, q))
+                if length >= max(min_length, min_exponent * q) and not smaller:
+                    out.append((s, length, q))
+                s = None
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def looped(doc_id, text):
+    words = re.findall(r"[^ \t-\r]+", text or "")
+    h = zlib.crc32(str(doc_id).encode())
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+
+
+def run_row(doc_id, text):
+    """The row of op12 for one document, but its id."""
+    words = looped(doc_id, text)
+    found = runs(words)
+    top = min(found, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2])) if found else None
+    gone = {i for s, length, q in found for i in range(s + q, s + length)}
+    kept = " ".join(w for i, w in enumerate(words) if i not in gone)
+    lines = "".join(f"{s},{length},{q}\n" for s, length, q in found)
+    best = (*top, 1000 * top[1] // top[2]) if top else (None,) * 4
+    return (len(found), *best, hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest())
