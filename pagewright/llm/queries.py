@@ -271,3 +271,71 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat(F.array_join(listed, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
         "collapsed_sha256",
     )
+
+
+def _crc32(key: str) -> str:
+    """SQL for the crc32 of an ASCII text."""
+    byte = "list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(acc, b))"
+    return f"xor(list_reduce(list_transform(string_split({key}, ''), lambda ch: ord(ch)::BIGINT), lambda acc, b: {byte}, 4294967295), 4294967295)"
+
+
+def _step(path: str, cost: str, letters: str) -> str:
+    """SQL for a path, nine digits of cost and then its letters, with more of both."""
+    return f"printf('%09d', left({path}, 9)::INTEGER + {cost}) || substr({path}, 10) || {letters}"
+
+
+_OP13_SQL = rf"""
+WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations),
+hurt AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+  CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM src, range(2) AS copy(k) WHERE kind <> 0 AND (k = 0 OR kind = 3)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM hurt),
+told AS (SELECT *, left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+  regexp_extract(text, '([^ 	-])[ 	-]*\z', 1) AS last,
+  row_number() OVER (PARTITION BY conv_id, role, md5(text) ORDER BY i) AS nth FROM placed),
+faulty AS (SELECT *, CASE WHEN last = '' THEN 1 WHEN nth > 1 THEN 2 WHEN last NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM told),
+walk AS (
+  SELECT DISTINCT coalesce('=' || conv_id::VARCHAR, '') AS c, 0::BIGINT AS i, '000000000' AS e, NULL::VARCHAR AS s, NULL::VARCHAR AS u, NULL::VARCHAR AS a FROM faulty
+  UNION ALL
+  SELECT c, i, {_step("e", "2", "'D'")},
+    least({_step("s", "2", "'D'")}, CASE WHEN NOT gone AND ini = 's' THEN {_step("e", "more", "'K'")} END),
+    least({_step("u", "2", "'D'")}, CASE WHEN NOT gone AND ini = 'u' THEN {_step("f", "more", "'K'")} END,
+          CASE WHEN NOT gone THEN {_step("f", "more + 1", "'R'")} END),
+    least({_step("a", "2", "'D'")}, CASE WHEN NOT gone AND ini = 'a' THEN {_step("u", "more", "'K'")} END,
+          CASE WHEN NOT gone THEN {_step("u", "more + 1", "'R'")} END)
+  FROM (SELECT w.c, r.i, r.ini, r.fault IN (1, 2) AS gone, CASE WHEN r.fault = 3 THEN 5 ELSE 0 END AS more, w.e, w.s, w.u,
+          w.a, least(w.e, w.s, w.a) AS f
+        FROM (SELECT c, i, e, s, u1 AS u, least(a, {_step("u1", "5", "'I'")}) AS a
+              FROM (SELECT *, least(u, {_step("least(e, s, a)", "5", "'I'")}) AS u1 FROM walk)) w
+        JOIN (SELECT coalesce('=' || conv_id::VARCHAR, '') AS c, i, ini, fault FROM faulty) r ON r.c = w.c AND r.i = w.i + 1)),
+ends AS (SELECT c, max_by(least(e, a, {_step("u", "5", "'I'")}, {_step("s", "10", "'II'")}), i) AS best FROM walk GROUP BY c),
+decided AS (SELECT c, left(best, 9)::BIGINT AS cost, substr(best, 10) AS audit FROM ends),
+letters AS (SELECT c, audit, unnest(range(1, length(audit) + 1)) AS k FROM decided),
+edits AS (SELECT c, k, substr(audit, k, 1) AS l, length(replace(left(audit, k), 'I', '')) AS i,
+  length(replace(left(audit, k), 'D', '')) - 1 AS place, length(replace(audit, 'D', '')) % 2 AS sys FROM letters),
+built AS (SELECT x.c, string_agg(CASE WHEN l = 'K' THEN r.role WHEN (place - sys) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' ||
+    CASE WHEN l = 'I' THEN '' ELSE r.text END, chr(10) ORDER BY k) AS body
+  FROM edits x LEFT JOIN faulty r ON x.l <> 'I' AND coalesce('=' || r.conv_id::VARCHAR, '') = x.c AND r.i = x.i WHERE l <> 'D' GROUP BY x.c),
+counts AS (SELECT coalesce('=' || conv_id::VARCHAR, '') AS c, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps,
+  count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated,
+  count(*) FILTER (WHERE before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce('=' || conv_id::VARCHAR, '') AS c FROM conversations) o
+LEFT JOIN counts USING (c) LEFT JOIN decided USING (c) LEFT JOIN built USING (c)
+"""
+
+
+@query("op13_conversation_repair", _OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm.repair import Repair, damage
+
+    turns = table(spark, sf_dir, "conversations")
+    repair = Repair(damage(turns), turns)
+    found = repair.report().join(repair.digests(), "c", "left")
+    return found.select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )

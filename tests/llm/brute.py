@@ -127,3 +127,60 @@ def run_row(doc_id, text):
     lines = "".join(f"{s},{length},{q}\n" for s, length, q in found)
     best = (*top, 1000 * top[1] // top[2]) if top else (None,) * 4
     return (len(found), *best, hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest())
+
+
+def damaged(rows):
+    """(conv_id, turn, role, text) rows with the planted faults."""
+    out = []
+    for conv, turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        if kind == 0:
+            continue
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        out += [(conv, turn, "user" if kind == 4 else role, text)] * (2 if kind == 3 else 1)
+    return out
+
+
+def repair(rows):
+    """(gaps, blank, duplicate, truncated, illegal, cost, audit, sha256) of one conversation after damage, by trying
+    all edits in which a row is kept, rerolled or deleted after up to two insertions."""
+    rows = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2], hashlib.md5(r[3].encode()).hexdigest()))
+    turns = {r[1] for r in rows if r[1] is not None}
+    gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+    seen, faults = set(), []
+    for _, _, role, text in rows:
+        last = re.sub(r"[ \t-\r]", "", text)[-1:]
+        faults.append(1 if not last else 2 if (role, text) in seen else 3 if last not in ".!?" else 0)
+        seen.add((role, text))
+    pairs = [a[2][:1] + b[2][:1] for a, b in zip(rows, rows[1:])]
+    best = {"": (0, "", ())}
+
+    def add(table, shape, path):
+        if re.fullmatch("(s?(ua)*u?)?", shape):
+            shape = shape if len(shape) < 3 else shape[0].replace("u", "") + ("ua" if shape[-1] == "a" else "uau")
+            if shape not in table or path < table[shape]:
+                table[shape] = path
+
+    def with_inserts(table):
+        for _ in range(2):
+            for shape, (cost, audit, out) in list(table.items()):
+                for role in ("user", "assistant"):
+                    add(table, shape + role[0], (cost + 5, audit + "I", (*out, role + ":")))
+        return table
+
+    for (_, _, role, text), fault in zip(rows, faults):
+        new = {}
+        for shape, (cost, audit, out) in with_inserts(best).items():
+            add(new, shape, (cost + 2, audit + "D", out))
+            if fault in (0, 3):
+                more = cost + (5 if fault else 0)
+                for to in ("user", "assistant"):
+                    add(new, shape + to[0], (more + 1, audit + "R", (*out, f"{to}:{text}")))
+                if role[:1] in ("s", "u", "a"):
+                    add(new, shape + role[:1], (more, audit + "K", (*out, f"{role}:{text}")))
+        best = new
+    cost, audit, out = min(v for k, v in with_inserts(best).items() if re.fullmatch("(s?(ua)+)?", k))
+    counts = [faults.count(k) for k in (1, 2, 3)]
+    illegal = sum(p not in ("su", "ua", "au") for p in pairs)
+    return (gaps, *counts, illegal, cost, audit, hashlib.sha256("\n".join(out).encode()).hexdigest())
