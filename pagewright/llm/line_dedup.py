@@ -52,10 +52,12 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(_WHITE)), _UPPER, _LOWER)
 
 
-def _hashed(line: Column) -> Column:
-    """The hash pair of a line's key; null for empty keys, which never repeat."""
-    key = line_key(line)
-    return F.when(key != "", F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")))
+def _hashes(text: Column) -> Column:
+    """The hash pair of every line's key, in order; null for empty keys, which never repeat.
+
+    Two steps, so that each key is made once: Spark does not share parts of a lambda."""
+    keys = F.transform(lines_of(text), line_key)
+    return F.transform(keys, lambda k: F.when(k != "", F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(1), k).alias("h2"))))
 
 
 class LineRuns:
@@ -160,7 +162,7 @@ def _told_apart(docs: DataFrame, text: str) -> DataFrame:
 
 def keys_of(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row (h1, h2, d1, d2) for every document and key in it; d1 and d2 tell documents apart."""
-    keys = F.array_distinct(F.transform(lines_of(F.col("text")), _hashed))
+    keys = F.array_distinct(_hashes(F.col("text")))
     each = _told_apart(docs, text).select("d1", "d2", F.explode(keys).alias("key"))
     return each.where("key IS NOT NULL").select("key.h1", "key.h2", "d1", "d2")
 
@@ -180,7 +182,7 @@ def drop_repeated(docs: DataFrame, repeated: DataFrame, text: str = "text") -> D
     """``docs`` without the lines whose keys are in ``repeated``: the other lines stay, joined by a line feed;
     n_lines (before dropping) and n_dropped are added."""
     rows = _told_apart(docs, text)
-    lines = rows.select("d1", "d2", F.posexplode(F.transform(lines_of(F.col("text")), _hashed)).alias("pos", "key"))
+    lines = rows.select("d1", "d2", F.posexplode(_hashes(F.col("text"))).alias("pos", "key"))
     salt = F.pmod(F.xxhash64("d1", "pos"), F.lit(SALTS))
     met = (
         lines.where("key IS NOT NULL")
