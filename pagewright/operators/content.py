@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from ..functions import html as H
 from ..functions.core import NON_WS, WS, is_blank
 from ..params import PageJobParams
+from ..session import cut_lineage_in_layout
 from .html_tokens import NOISE_TAGS, pair_tags, tokenize
 
 # Selectors of the fallback, in order of preference.
@@ -74,7 +75,7 @@ def _features(tokens: DataFrame) -> DataFrame:
         + F.when(name.rlike(GOOD_NAME), NAME_WEIGHT).otherwise(0),
     ).otherwise(0)
     return tokens.select(
-        "page_id", "pos", "tag", "kind", "page",
+        "page_id", "pos", "tag", "kind",
         F.length(raw).alias("size"),
         F.length(F.when(text.rlike(NON_WS), text).otherwise("")).alias("chars"),
         F.regexp_count(text, F.lit("[,，、]")).alias("commas"),
@@ -87,10 +88,10 @@ def _features(tokens: DataFrame) -> DataFrame:
 
 
 def content_regions(pages: DataFrame) -> DataFrame:
-    """The pages with their primary region and the fallback candidates, as character ranges.
+    """Primary region and fallback candidates of pages (page_id, html), as character ranges: page_id, primary, candidates.
 
     One pass over the tokens of a page, without joins; all sorts and aggregates
-    are by page_id.
+    are by page_id, over places and sizes only, no text among them. A page without either has no row.
 
     Blocks of running text of at least 25 characters score
     ``1 + commas + min(chars / 100, 3)`` for the element around them, half of it
@@ -99,7 +100,7 @@ def content_regions(pages: DataFrame) -> DataFrame:
     """
     w = W.partitionBy("page_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy("page_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    tokens = _features(tokenize(pages, carry=[c for c in pages.columns if c != "page_id"]))
+    tokens = _features(tokenize(pages))
     link = F.when(F.col("tag") == "a", F.col("kind"))
     is_open, is_close = F.col("kind") == "open", F.col("kind") == "close"
 
@@ -153,7 +154,7 @@ def content_regions(pages: DataFrame) -> DataFrame:
     # One stream of events. A box is an event on its own level. A block is an event
     # on the level of the box around it and on the next two levels out, with its
     # share of points. On each level the last box before a block is its ancestor.
-    # Candidates and the page itself pass through on level 0.
+    # Candidates pass through on level 0.
     def event(role: str, level: Column, value: Column) -> Column:
         return F.struct(F.lit(role).alias("role"), level.cast("int").alias("level"), value.alias("value"))
 
@@ -164,7 +165,6 @@ def content_regions(pages: DataFrame) -> DataFrame:
     ]
     events = F.array_compact(
         F.array(
-            F.when(F.col("page").isNotNull(), event("page", F.lit(0), F.lit(0.0))),
             F.when(F.col("is_box"), event("box", level, F.lit(0.0))),
             F.when(F.col("selector").isNotNull(), event("candidate", F.lit(0), F.lit(0.0))),
             *blocks,
@@ -186,10 +186,10 @@ def content_regions(pages: DataFrame) -> DataFrame:
         F.when(box_chars > 0, box_link / box_chars).otherwise(0.0).alias("density"),
     )
     stream = sized.select(
-        "page_id", "pos", "page", "selector", facts.alias("facts"), events.alias("events")
+        "page_id", "pos", "selector", facts.alias("facts"), events.alias("events")
     ).select(
-        "page_id", "pos", "page", "selector", "facts", F.explode_outer("events").alias("e")
-    ).where(F.col("e").isNotNull()).select("page_id", "pos", "page", "selector", "facts", "e.*")
+        "page_id", "pos", "selector", "facts", F.explode_outer("events").alias("e")
+    ).where(F.col("e").isNotNull()).select("page_id", "pos", "selector", "facts", "e.*")
     is_box_event = F.col("role") == "box"
     on_level = (
         W.partitionBy("page_id", "level").orderBy("pos", is_box_event.desc()).rowsBetween(W.unboundedPreceding, 0)
@@ -197,29 +197,27 @@ def content_regions(pages: DataFrame) -> DataFrame:
     # Level 0 has no boxes, so there ``facts`` stays that of the row itself.
     ancestor = F.last(F.when(is_box_event, F.col("facts")), ignorenulls=True).over(on_level)
     owned = stream.select(
-        "page_id", "page", "selector", "role", "value",
+        "page_id", "selector", "value",
         F.when(F.col("role") == "block", ancestor).otherwise(F.col("facts")).alias("facts"),
+        (F.col("role") == "candidate").alias("is_candidate"),
     ).where(F.col("facts").isNotNull())
-    group = F.when(F.col("role").isin("box", "block"), "box").otherwise(F.col("role"))
-    per_region = owned.groupBy("page_id", group.alias("role"), F.col("facts.pos").alias("pos")).agg(
+    # The facts of a region are the same on all its rows. Numbers are aggregated by hash, a struct of them by sort.
+    per_region = owned.groupBy("page_id", "is_candidate", F.col("facts.pos").alias("pos")).agg(
         F.sum("value").alias("points"),
-        F.max("facts").alias("facts"),
         F.max("selector").alias("selector"),
-        F.max("page").alias("page"),
+        *[F.max(f"facts.region.{c}").alias(c) for c in ("region_start", "region_end")],
+        *[F.max(f"facts.{c}").alias(c) for c in ("weight", "density")],
     )
-    score = (F.col("points") + F.col("facts.weight")) * (1 - F.col("facts.density"))
+    region = F.struct("region_start", "region_end").alias("region")
+    score = (F.col("points") + F.col("weight")) * (1 - F.col("density"))
     primary = F.when(
-        (F.col("role") == "box") & (F.col("points") > 0) & (score > 0),
-        F.struct(score.alias("score"), (-F.col("pos")).alias("order"), "facts.region"),
-    )
-    candidate = F.when(
-        F.col("role") == "candidate", F.struct("selector", "pos", "facts.region")
+        ~F.col("is_candidate") & (F.col("points") > 0) & (score > 0),
+        F.struct(score.alias("score"), (-F.col("pos")).alias("order"), region),
     )
+    candidate = F.when(F.col("is_candidate"), F.struct("selector", "pos", region))
     return per_region.groupBy("page_id").agg(
-        F.max("page").alias("page"),
-        F.max(primary).alias("primary"),
-        F.collect_list(candidate).alias("candidates"),
-    ).select("page_id", "page.*", "primary", "candidates")
+        F.array_max(F.collect_list(primary)).alias("primary"), F.collect_list(candidate).alias("candidates")
+    )
 
 
 def _slice(html: Column, region: Column) -> Column:
@@ -255,8 +253,11 @@ def extract_content(
         _before_error(p, F.col("_body")).alias("_gate"),
         "html",
     ).withColumn("html", F.when(F.col("_gate").isNull(), html))
-    regions = content_regions(facts)
-    first = regions.withColumn("_p_html", _slice(html, F.col("primary.region"))).withColumn(
+    # Regions are found on narrow rows in the layout of the pages, which meet them there: pages are
+    # not sorted, and where they are laid out by page_id neither side moves.
+    regions = content_regions(facts.select("page_id", "html"))
+    placed = facts.join(regions.hint("shuffle_hash"), "page_id", "left")
+    first = placed.withColumn("_p_html", _slice(html, F.col("primary.region"))).withColumn(
         "_p_text", H.strip_to_text("_p_html")
     )
     reaches = F.coalesce(F.length("_p_text") >= p.char_threshold, F.lit(False)) & F.lit(use_primary)
@@ -270,7 +271,8 @@ def extract_content(
             c["region"].alias("region"),
         )
 
-    best = F.array_max(F.filter(F.transform("candidates", scored), lambda c: c["score"] > 0))
+    candidates = F.coalesce("candidates", F.array())
+    best = F.array_max(F.filter(F.transform(candidates, scored), lambda c: c["score"] > 0))
     allowed = ~reaches & F.lit(p.enable_fallback)
     second = first.withColumn("_ok", reaches).withColumn("_best", F.when(allowed, best))
     picked = second.withColumn(
@@ -382,11 +384,21 @@ def by_page(pages: DataFrame) -> DataFrame:
     return pages.repartition(n, "page_id")
 
 
+def laid_out(pages: DataFrame) -> DataFrame:
+    """Pages laid out by page_id and written in that layout, for steps that read them more than once.
+
+    Also what makes keys of :func:`with_row_key` lasting where the order of the input's rows is not: a
+    repeated task reads the rows with the keys they were given.
+    """
+    return cut_lineage_in_layout(by_page(pages))
+
+
 def with_row_key(pages: DataFrame) -> DataFrame:
     """Pages under a key of their own row; the given id becomes ``source_page_id``.
 
     Ids may be missing or shared by several pages. The key is the row's place in the
-    scan, which a repeated task gives again, so no two rows can share one.
+    input. A repeated task gives it again if the input is a scan; after a join or a shuffle it may not, so
+    the plans write keyed rows first (:func:`laid_out`).
     """
     return pages.select(
         F.monotonically_increasing_id().alias("page_id"),
@@ -400,4 +412,4 @@ def with_source_id(rows: DataFrame) -> DataFrame:
     return rows.drop("page_id").withColumnRenamed("source_page_id", "page_id")
 
 
-__all__ = ["by_page", "content_regions", "extract_content", "gate_content", "with_row_key", "with_source_id"]
+__all__ = ["by_page", "content_regions", "extract_content", "gate_content", "laid_out", "with_row_key", "with_source_id"]

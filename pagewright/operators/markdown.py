@@ -1,6 +1,9 @@
-"""HTML to Markdown: token rows to fragments, fragments to lines, lines with prefixes.
+"""HTML to Markdown: tokens to fragments, fragments to lines, lines with prefixes.
 
-Like the content pick, everything is partitioned by page id, in place.
+What a token writes depends on the tokens around it. That is found on narrow rows, windows over places, tag
+names and counts, and comes back to the page as one array. The text stays in the row of its page, where
+tokens and array meet; the same goes for lines and their prefixes. Like the content pick, everything
+is partitioned by page id, in place.
 """
 
 from __future__ import annotations
@@ -13,8 +16,9 @@ from ..functions import html as H
 from ..functions import markdown as M
 from ..functions import urls as U
 from ..functions.core import is_blank, replace_all
+from ..session import cut_lineage_in_layout
 from .content import BLOCK_TAGS
-from .html_tokens import NOISE_TAGS, pair_tags, tokenize
+from .html_tokens import NOISE_TAGS, TOKEN, pair_tags, tokenize
 
 # Control characters stand for structure until the last step; they are not legal in
 # HTML text and are removed from it first.
@@ -49,10 +53,15 @@ JOIN_STEPS = (
 )
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value made once: Spark does not share parts of a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _text(raw: Column, in_pre: Column, in_code: Column) -> Column:
     plain = H.decode_entities(F.regexp_replace(raw, CONTROLS, ""))
     squeezed = F.regexp_replace(plain, r"[ \t\r\n]+", " ")
-    escaped = F.when(squeezed.rlike(SPECIAL), replace_all(squeezed, ESCAPES)).otherwise(squeezed)
+    escaped = _let(squeezed, lambda s: F.when(s.rlike(SPECIAL), replace_all(s, ESCAPES)).otherwise(s))
     return (
         F.when(in_pre, F.translate(plain, "\n \t\r", NEWLINE + SPACE + TAB))
         .when(in_code, squeezed)
@@ -75,36 +84,31 @@ def _image(raw: Column) -> Column:
     return F.when(F.coalesce(src, F.lit("")) != "", image).otherwise("")
 
 
-def _fragment() -> Column:
-    """What one token contributes, from its tag, kind and the flags around it."""
-    tag, matched = F.col("tag"), F.col("mate").isNotNull()
-    opens, closes = F.col("kind") == "open", F.col("kind") == "close"
-    pre = F.col("pre_depth") > 0
-    has_href = F.coalesce("href", "mate_href", F.lit("")) != ""
+def _fragment(raw: Column, f: Column, tokens: Column) -> Column:
+    """What one token contributes, from its text and the flags around it (see :func:`token_flags`)."""
+    tag, matched = f["tag"], f["mate"].isNotNull()
+    opens, closes, pre = f["kind"] == "open", f["kind"] == "close", f["pre"]
 
     def both(first: str, second: str) -> Column:
         return F.when(opens, first).otherwise(second)
 
-    fence = F.concat(F.lit("\n\n```"), F.when(F.col("next_tag") == "code", LANG).otherwise(""), F.lit("\n"))
-    cells = F.col("cells") - F.col("mate_cells")
-    first_row = F.col("rows") - F.col("rows_before") == 1
-    no_td = F.col("tds") == F.col("mate_tds")
-    heading_row = (F.col("thead_depth") > 0) | (first_row & no_td)
-    border = F.when(
-        matched & heading_row & (cells > 0),
-        F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), cells.cast("int"))),
-    ).otherwise("")
+    fence = F.concat(F.lit("\n\n```"), F.when(f["code_next"], LANG).otherwise(""), F.lit("\n"))
+    border = F.when(f["border"] > 0, F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), f["border"]))).otherwise("")
     heading_open = F.concat(F.lit("\n\n"), F.repeat(F.lit("#"), F.substring(tag, 2, 1).try_cast("int")), F.lit(" "))
+    opener = F.element_at(tokens, f["mate"] + 1)
+    # What an image or the end of a link writes, references resolved.
+    target = H.decode_entities(_titled(H.raw_attribute(opener, "href"), H.raw_attribute(opener, "title")))
+    box = F.when(H.raw_attribute(raw, "type") == "checkbox", F.when(raw.rlike(r"(?i)\schecked\b"), "[x] ").otherwise("[ ] ")).otherwise("")
     return (
-        F.when(F.col("kind") == "text", _text(F.col("raw"), pre, F.col("code_depth") > 0))
+        F.when(f["kind"] == "text", _text(raw, pre, f["code"]))
         .when(tag == "br", F.when(pre, NEWLINE).otherwise(BREAK + "\n"))
         .when(tag == "hr", "\n\n---\n\n")
-        .when(tag == "img", F.col("target"))
-        .when(tag == "input", F.col("checkbox"))
+        .when(tag == "img", H.decode_entities(_image(raw)))
+        .when(tag == "input", box)
         .when((tag == "pre") & matched & opens, fence)
         .when((tag == "pre") & matched & closes, f"{CODE_END}\n```\n\n")
         .when((tag == "code") & matched, F.when(pre, "").otherwise("`"))
-        .when((tag == "a") & matched & has_href, F.when(opens, "[").otherwise(F.col("mate_target")))
+        .when((tag == "a") & matched & f["linked"], F.when(opens, "[").otherwise(target))
         .when(tag.isin(*STRONG_TAGS) & matched & ~pre, both(STRONG, STRONG_END))
         .when(tag.isin(*EM_TAGS) & matched & ~pre, both(EM, EM_END))
         .when(tag.isin(*STRIKE_TAGS) & matched & ~pre, "~")
@@ -126,74 +130,61 @@ def _joined(value: Column, *order: str) -> Column:
     return F.array_join(F.transform(ordered, lambda x: x["s"]), "")
 
 
-def fragments(tokens: DataFrame) -> DataFrame:
-    """Token rows to (page_id, pos, page, fragment) without the removed elements."""
+def token_flags(pages: DataFrame, html: str) -> DataFrame:
+    """(page_id, flags): what stands around each token of a page, in the order of the tokens.
+
+    Flags are tag, kind, mate (place of the other tag of a pair), visible (outside removed elements), pre and code
+    (inside such), code_next, linked (of a link with an address) and border (cells of the heading row that
+    ends here). No text goes through the windows.
+    """
     tag, raw, opens = F.col("tag"), F.col("raw"), F.col("kind") == "open"
     w = W.partitionBy("page_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     cell = opens & tag.isin("td", "th")
-    narrow = tokens.select(
-        "page_id", "pos", "page", "tag", "kind",
-        F.when(F.col("kind") == "text", raw).alias("raw"),
-        F.when(
-            opens & (tag == "a"),
-            H.raw_attribute(raw, "href"),
-        ).alias("href"),
-        # what an image or the end of a link writes, references resolved
-        H.decode_entities(
-            F.when(tag == "img", _image(raw)).when(
-                opens & (tag == "a"), _titled(H.raw_attribute(raw, "href"), H.raw_attribute(raw, "title"))
-            )
-        ).alias("target"),
-        F.when(
-            (tag == "input") & (H.raw_attribute(raw, "type") == "checkbox"),
-            F.when(raw.rlike(r"(?i)\schecked\b"), "[x] ").otherwise("[ ] "),
-        ).otherwise("").alias("checkbox"),
-    ).select(
+    linked = opens & (tag == "a") & (F.coalesce(H.raw_attribute(raw, "href"), F.lit("")) != "")
+    narrow = tokenize(pages, html).select("page_id", "pos", "tag", "kind", linked.alias("linked")).select(
         "*",
         F.sum(cell.cast("int")).over(w).alias("cells"),
         F.sum((opens & (tag == "td")).cast("int")).over(w).alias("tds"),
         F.sum((opens & (tag == "tr")).cast("int")).over(w).alias("rows"),
     )
-    paired = pair_tags(narrow, ["href", "target", "cells", "tds"])
+    paired = pair_tags(narrow, ["linked", "cells", "tds"])
     matched = F.col("mate").isNotNull()
     step = F.when(opens, 1).when(F.col("kind") == "close", -1).otherwise(0)
 
     def depth(*tags: str) -> Column:
         return F.sum(F.when(tag.isin(*tags) & matched, step).otherwise(0)).over(w)
 
-    removed_close = tag.isin(*NOISE_TAGS) & (F.col("kind") == "close")
     flagged = paired.select(
         "*",
         depth(*NOISE_TAGS).alias("noise"),
-        depth("pre").alias("pre_depth"),
-        depth("code").alias("code_depth"),
-        depth("thead").alias("thead_depth"),
+        (depth("pre") > 0).alias("pre"),
+        (depth("code") > 0).alias("code"),
+        (depth("thead") > 0).alias("in_head"),
         F.last(F.when(opens & (tag == "table"), F.col("rows")), ignorenulls=True).over(w).alias("rows_before"),
-        F.lead("tag").over(W.partitionBy("page_id").orderBy("pos")).alias("next_tag"),
+        F.coalesce(F.lead("tag").over(W.partitionBy("page_id").orderBy("pos")) == "code", F.lit(False)).alias("code_next"),
     )
+    removed_close = tag.isin(*NOISE_TAGS) & (F.col("kind") == "close")
     visible = (F.col("noise") == 0) & ~removed_close & ~F.col("kind").isin("raw", "comment")
-    return flagged.select(
-        "page_id", "pos", "page", F.when(visible, _fragment()).otherwise("").alias("fragment")
+    first_row = F.col("rows") - F.col("rows_before") == 1
+    heading = F.col("in_head") | (first_row & (F.col("tds") == F.col("mate_tds")))
+    ends_heading = (tag == "tr") & (F.col("kind") == "close") & matched & heading
+    border = F.when(ends_heading, F.col("cells") - F.col("mate_cells")).otherwise(0).cast("int")
+    is_link = F.col("linked") | F.coalesce("mate_linked", F.lit(False))
+    flags = F.struct(
+        "pos", "tag", "kind", F.col("mate").cast("int").alias("mate"), visible.alias("visible"), "pre", "code", "code_next",
+        is_link.alias("linked"), border.alias("border"),
     )
+    return flagged.groupBy("page_id").agg(F.array_sort(F.collect_list(flags)).alias("flags"))
 
 
-def _prefixed(pages: DataFrame) -> DataFrame:
-    """Lines of lists and quotes with a prefix per level around them.
+def line_prefixes(pages: DataFrame) -> DataFrame:
+    """(page_id, pieces): what is written for the lines of the ``md`` of pages with lists or quotes, in order.
 
-    Input and output are (page_id, page, md). Each line of a list is renumbered;
-    each line of a quote gets ``>``. A page without lists and quotes is one line here.
+    A piece has a prefix, and with ``text`` the line of that number and its end follow. Each line of a list is renumbered;
+    each line of a quote gets ``>``. Only kinds and numbers of lines go through the windows.
     """
-    md = F.col("md")
-    lines = pages.select(
-        "page_id", "page",
-        F.posexplode_outer(
-            F.when(md.rlike(f"[{MARKS}]"), F.split(md, "\n")).otherwise(F.array(md))
-        ).alias("ln", "line"),
-    ).select(
-        "page_id", F.coalesce("ln", F.lit(0)).alias("ln"), F.coalesce("line", F.lit("")).alias("line"),
-        F.when(F.coalesce("ln", F.lit(0)) == 0, F.col("page")).alias("page"),
-    )
-    line = F.col("line")
+    md, line = F.col("md"), F.col("line")
+    lines = pages.where(md.rlike(f"[{MARKS}]")).select("page_id", F.posexplode(F.split(md, "\n")).alias("ln", "line"))
     role = (
         F.when(line.isin(UL, OL, QUOTE), "open").when(line.isin(LIST_END, QUOTE_END), "close")
         .when(line == ITEM, "item").otherwise("text")
@@ -201,22 +192,25 @@ def _prefixed(pages: DataFrame) -> DataFrame:
     w = W.partitionBy("page_id").orderBy("ln").rowsBetween(W.unboundedPreceding, 0)
     step = F.when(F.col("role") == "open", 1).when(F.col("role") == "close", -1).otherwise(0)
     depth = F.sum(step).over(w)
-    leveled = lines.withColumn("role", role).withColumn(
+    narrow = lines.select(
+        "page_id", "ln", role.alias("role"), F.when(role == "open", line).alias("mark"), is_blank("line").alias("blank")
+    )
+    leveled = narrow.withColumn(
         "depth", F.when(F.col("role") == "close", depth + 1).otherwise(depth).cast("int")
     )
     on_level = W.partitionBy("page_id", "depth").orderBy("ln").rowsBetween(W.unboundedPreceding, 0)
-    innermost = F.last(F.when(F.col("role") == "open", line), ignorenulls=True).over(on_level)
+    innermost = F.last("mark", ignorenulls=True).over(on_level)
     is_text = F.col("role") == "text"
-    dropped = is_text & (F.col("depth") > 0) & is_blank(line) & F.col("inner").isin(UL, OL)
-    kept = leveled.withColumn("inner", innermost).where(~F.coalesce(dropped, F.lit(False)) | F.col("page").isNotNull())
+    dropped = is_text & (F.col("depth") > 0) & F.col("blank") & F.col("inner").isin(UL, OL)
+    kept = leveled.withColumn("inner", innermost).where(~F.coalesce(dropped, F.lit(False)))
     levels = F.when(is_text & (F.col("depth") > 0), F.sequence(F.lit(1), F.greatest("depth", F.lit(1)))).otherwise(
         F.array("depth")
     )
     rows = kept.select(
-        "page_id", "ln", "line", "page", "role", "depth", F.explode_outer(levels).alias("lv")
+        "page_id", "ln", "mark", "blank", "role", "depth", F.explode_outer(levels).alias("lv")
     ).where(F.col("lv").isNotNull())
     at = W.partitionBy("page_id", "lv").orderBy("ln").rowsBetween(W.unboundedPreceding, 0)
-    opened = F.when(F.col("role") == "open", F.struct("ln", "line"))
+    opened = F.when(F.col("role") == "open", F.struct("ln", "mark"))
     rows = rows.withColumn("list", F.last(opened, ignorenulls=True).over(at))
     inside = W.partitionBy("page_id", "lv", F.col("list.ln")).orderBy("ln")
     rows = rows.select(
@@ -225,23 +219,23 @@ def _prefixed(pages: DataFrame) -> DataFrame:
         F.lag("role").over(inside).isin("item", "open").alias("first"),
     )
     indent = F.when(F.coalesce("first", F.lit(False)), "").otherwise("    ")
-    kind = F.col("list.line")
+    kind = F.col("list.mark")
     prefix = (
         F.when(F.col("lv") == 0, "")
         .when(kind == UL, F.concat(F.lit("- "), indent))
         .when(kind == OL, F.concat(F.col("n").cast("string"), F.lit(". "), indent))
-        .when(is_blank(line) & (F.col("lv") == F.col("depth")), ">")
+        .when(F.col("blank") & (F.col("lv") == F.col("depth")), ">")
         .otherwise("> ")
     )
-    piece = (
-        F.when(is_text & (F.col("lv") == F.col("depth")), F.concat(prefix, line, F.lit("\n")))
-        .when(is_text, prefix)
-        .when((F.col("role") == "close") & (F.col("lv") == 1), "\n")
-        .otherwise("")
-    )
-    return rows.groupBy("page_id").agg(
-        F.max_by("page", F.col("page").isNotNull()).alias("page"), _joined(piece, "ln", "lv").alias("md")
-    )
+    written = F.when(is_text, prefix).when((F.col("role") == "close") & (F.col("lv") == 1), "\n").otherwise("")
+    piece = F.struct("ln", "lv", written.alias("prefix"), (is_text & (F.col("lv") == F.col("depth"))).alias("text"))
+    return rows.groupBy("page_id").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+
+
+def _with_prefixes(md: Column, lines: Column, pieces: Column) -> Column:
+    """The text again, as the pieces say; text without lists and quotes has none."""
+    one = F.transform(pieces, lambda p: F.concat(p["prefix"], F.when(p["text"], F.concat(F.element_at(lines, p["ln"] + 1), F.lit("\n"))).otherwise("")))
+    return F.when(md.rlike(f"[{MARKS}]"), F.coalesce(F.array_join(one, ""), F.lit(""))).otherwise(F.concat(md, F.lit("\n")))
 
 
 def _finish(md: Column) -> Column:
@@ -271,15 +265,19 @@ def render_markdown(content: DataFrame, html: str = "content_html", preserve_cod
     open tag without its close tag is ignored.
     """
     keep = [c for c in content.columns if c != "page_id"]
-    prepared = content.withColumn("_prepared", M.preprocess_html(html, preserve_code))
-    tokens = tokenize(prepared, "_prepared", carry=[*keep, "_prepared"])
-    joined = (
-        fragments(tokens)
-        .groupBy("page_id")
-        .agg(F.max_by("page", F.col("page").isNotNull()).alias("page"), _joined(F.col("fragment"), "pos").alias("md"))
-        .select("page_id", "page", replace_all("md", JOIN_STEPS).alias("md"))
+    # Both are read twice: for what stands around, and for the text.
+    prepared = cut_lineage_in_layout(content.withColumn("_prepared", M.preprocess_html(html, preserve_code)))
+    flags = token_flags(prepared.select("page_id", "_prepared"), "_prepared").hint("shuffle_hash")
+    tokens = F.regexp_extract_all("_prepared", F.lit(TOKEN), F.lit(0))
+    drawn = prepared.join(flags, "page_id", "left").withColumn("_tokens", tokens)
+    written = F.zip_with(
+        "_tokens", "flags", lambda raw, f: F.when(f["visible"], _fragment(raw, f, F.col("_tokens"))).otherwise("")
     )
-    raw = _prefixed(joined).select("page_id", "page.*", _finish(F.col("md")).alias("_raw"))
+    joined = replace_all(F.coalesce(F.array_join(written, ""), F.lit("")), JOIN_STEPS)
+    joined = cut_lineage_in_layout(drawn.select("page_id", *keep, "_prepared", joined.alias("md")))
+    pieces = line_prefixes(joined.select("page_id", "md")).hint("shuffle_hash")
+    lined = joined.join(pieces, "page_id", "left").withColumn("_lines", F.split("md", "\n"))
+    raw = lined.withColumn("_raw", _finish(_with_prefixes(F.col("md"), F.col("_lines"), F.col("pieces"))))
     done = raw.withColumn("markdown", M.postprocess("_raw")).withColumn(
         "text_content", M.to_plain_text("markdown")
     )

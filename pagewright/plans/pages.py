@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.chunking import chunk_documents
-from ..operators.content import by_page, extract_content, gate_content, with_row_key, with_source_id
+from ..operators.content import extract_content, gate_content, laid_out, with_row_key, with_source_id
 from ..operators.enrich import enrich
 from ..operators.markdown import render_markdown
 from ..operators.rollups import CHUNKING_FAILED, SUCCESS
@@ -23,7 +23,7 @@ PAGE_FIELDS = ("page_id", "source_page_id", "url", "title", "status", "extractio
 
 def _keyed_content(pages: DataFrame, p: PageJobParams, preserve_code: bool = False) -> DataFrame:
     """As :func:`page_content`, with page_id the row key and source_page_id the page's id."""
-    extracted = extract_content(by_page(with_row_key(pages.select("page_id", "url", "html"))), p)
+    extracted = extract_content(laid_out(with_row_key(pages.select("page_id", "url", "html"))), p)
     return gate_content(render_markdown(extracted, preserve_code=preserve_code), p)
 
 

@@ -40,6 +40,9 @@ def local_session(cpus: int | str = "*", app: str = "pagewright", **conf: str) -
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8" if cpus == "*" else str(cpus))
         .config("spark.driver.memory", "12g")
+        # Checkpoints are compressed, and removed when nothing refers to them.
+        .config("spark.checkpoint.compress", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # Static: without a call site per column expression, plans build faster.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
@@ -72,6 +75,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_lineage_in_layout(df: DataFrame) -> DataFrame:
+    """As :func:`cut_lineage`; windows, aggregates and joins on the keys that ``df`` is laid out by still need no shuffle.
+
+    An adaptive plan does not tell its layout, so this one job is planned without.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        # A new frame on the same plan: the one at hand may have been planned before.
+        return cut_lineage(df.select("*"))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a scan over all cores when it comes in fewer splits than there are cores.
 

@@ -93,7 +93,7 @@ _CONTENT = f"""(SELECT page_id, url, html, method, CASE WHEN method = 'fallback-
 )
 def main_content(spark, d):
     """Primary pick, else the best selector."""
-    c = C.extract_content(C.by_page(pages(spark, d)))
+    c = C.extract_content(C.laid_out(pages(spark, d)))
     return c.select(
         "page_id", "method", F.col("content_html").contains("<nav>").alias("has_nav"),
         F.length("content_html").cast("long").alias("content_length"), "content_text", "excerpt",
@@ -108,7 +108,7 @@ def main_content(spark, d):
 )
 def fallback_content(spark, d):
     """Best region over all selectors, ties to the first selector."""
-    c = C.extract_content(C.by_page(pages(spark, d)), use_primary=False)
+    c = C.extract_content(C.laid_out(pages(spark, d)), use_primary=False)
     return c.select("page_id", "method", F.length("content_html").cast("long").alias("content_length"))
 
 
@@ -136,7 +136,7 @@ _MARKDOWN = f"""(SELECT c.page_id, url, html, method, content, {D.steps('md', M.
 )
 def page_markdown(spark, d):
     """Main content as Markdown and as plain text."""
-    c = C.extract_content(C.by_page(pages(spark, d)))
+    c = C.extract_content(C.laid_out(pages(spark, d)))
     return MD.render_markdown(c).select("page_id", "markdown", "text_content")
 
 

@@ -1,14 +1,12 @@
 """Markdown rendering, main content and the page job on small hand-made pages."""
 
-import io
 import re
-from contextlib import redirect_stdout
 
 import pytest
 
-from pagewright.operators.content import by_page, extract_content
+from pagewright.operators.content import by_page, extract_content, laid_out
 from pagewright.operators.html_tokens import pair_tags, tokenize
-from pagewright.operators.markdown import render_markdown
+from pagewright.operators.markdown import line_prefixes, render_markdown, token_flags
 from pagewright.plans.pages import page_content, page_results
 
 MARKDOWN = {
@@ -92,17 +90,61 @@ def test_page_job_keeps_every_page(spark, pages):
     assert by_url["http://x.org/4"].error == "Final result has no Markdown content"
 
 
-def plan_of(df):
-    out = io.StringIO()
-    with redirect_stdout(out):
-        df.explain()
-    return out.getvalue()
-
-
-def test_page_job_shuffles_pages_once(spark, pages):
-    plan = plan_of(page_content(pages))
-    assert len(re.findall(r"Exchange ", plan)) == 1
-    assert "Join" not in plan and "PythonUDF" not in plan
+def nodes_of(spark, df, kind):
+    """The nodes of a plan whose name begins with ``kind``, as it stands before it runs."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stack, found = [df.select("*")._jdf.queryExecution().executedPlan()], []
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    while stack:
+        node = stack.pop()
+        if node.nodeName().startswith(kind):
+            found.append(node)
+        stack += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+#: Short texts that may go through a sort: names of tags and kinds, marks of one character.
+NARROW = {"tag", "kind", "role", "mark", "_extract_mark"}
+
+
+def wide_columns(spark, df):
+    """Columns below a Sort that hold text other than names."""
+    out = set()
+    for node in nodes_of(spark, df, "Sort"):
+        for i in range(node.output().size()):
+            a = node.output().apply(i)
+            fields = re.sub(r"mark:string|role:string|kind:string|tag:string", "", a.dataType().simpleString())
+            if a.name() not in NARROW and "string" in fields and not re.match(r"_(we|w|next|prev)", a.name()):
+                out.add(f"{a.name()} {fields}")
+    return out
+
+
+def test_page_job_sorts_no_text_and_moves_pages_once(spark, pages):
+    laid = laid_out(pages)
+    content = extract_content(laid)
+    assert nodes_of(spark, laid, "Exchange") == [] and nodes_of(spark, content, "Exchange") == []
+    assert nodes_of(spark, content, "SortMergeJoin") == [] and len(nodes_of(spark, content, "ShuffledHashJoin")) == 1
+    assert wide_columns(spark, content) == set() and len(nodes_of(spark, content, "Sort")) <= 6
+    flags = token_flags(laid, "html")
+    assert wide_columns(spark, flags) == set() and nodes_of(spark, flags, "Exchange") == []
+    prefixes = line_prefixes(laid.withColumnRenamed("html", "md"))
+    assert wide_columns(spark, prefixes) == set() and nodes_of(spark, prefixes, "Exchange") == []
+    whole = page_content(pages)
+    assert nodes_of(spark, whole, "Exchange") == [] and wide_columns(spark, whole) == set()
+    results = page_results(pages)
+    assert len(nodes_of(spark, results, "Sort")) <= 6 and wide_columns(spark, results) == set()
+    assert not nodes_of(spark, whole, "ArrowEvalPython")
+
+
+def test_a_large_page_keeps_its_order(spark):
+    items = "".join(f"<li>item {i} of a long list, with <a href='/{i}'>a link</a></li>" for i in range(3000))
+    html = f"<html><body><article><p>{LONG}</p><ul>{items}</ul><blockquote><ol><li>x</li></ol></blockquote></article></body></html>"
+    (row,) = page_content(spark.createDataFrame([(1, "http://x.org/", html)], "page_id long, url string, html string")).collect()
+    lines = [x for x in row.markdown.split("\n") if x.startswith("- item")]
+    assert lines == [f"- item {i} of a long list, with [a link](/{i})" for i in range(3000)]
+    assert "> 1. x" in row.markdown.split("\n")
 
 
 def test_pages_that_share_an_id_or_have_none(spark):
