@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .core import WS_CHARS
+from .lengths import length_function
 
 CHUNK_TYPE = "array<struct<content:string,start_offset:int,end_offset:int>>"
 
@@ -130,9 +131,13 @@ def split_column(
     overlap: int = 100,
     separators: Sequence[str] = ("\n\n", "\n", " ", ""),
     keep_separator: bool = False,
-    length: Callable[[str], int] = len,
+    length: str | Callable[[str], int] = len,
 ) -> Column:
-    """Chunk array of a text column; rows stay where they are, nothing is shuffled."""
+    """Chunk array of a text column; rows stay where they are, nothing is shuffled.
+
+    ``length`` is a name (see :mod:`.lengths`) or a function.
+    """
+    length = length_function(length)
     if size <= 0 or overlap < 0 or overlap >= size:
         raise ValueError("need 0 <= overlap < size")
     if not separators:

@@ -42,14 +42,14 @@ def chunk_documents(
     overlap: int = 100,
     separators: Sequence[str] = SEPARATORS,
     keep_separator: bool = False,
-    length: Callable[[str], int] = len,
+    length: str | Callable[[str], int] = len,
     keep_empty: bool = False,
 ) -> DataFrame:
     """One row per chunk, with every column of ``docs`` but the text.
 
     Blank documents give no rows, or with ``keep_empty`` one row without a chunk. Offsets count from the cleaned text. Rows are
     split where they are: there is no shuffle, and the layout of ``docs`` by
-    its key carries over to the chunks.
+    its key carries over to the chunks. ``length`` is a name (chars, tokens, ...) or a function.
     """
     keep = [c for c in docs.columns if c != text]
     arrays = (
