@@ -40,6 +40,8 @@ def local_session(cpus: int | str = "*", app: str = "pagewright", **conf: str) -
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8" if cpus == "*" else str(cpus))
         .config("spark.driver.memory", "12g")
+        # The page job has more generated classes than the default cache holds.
+        .config("spark.sql.codegen.cache.maxEntries", "1000")
         # Checkpoints are compressed, and removed when nothing refers to them.
         .config("spark.checkpoint.compress", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")

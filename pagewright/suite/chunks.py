@@ -10,6 +10,7 @@ from ..functions import urls as U
 from ..functions.core import is_blank
 from ..operators import chunking as C
 from ..operators import enrich as E
+from ..operators import pieces as P
 from ..operators import rollups as R
 from ..operators import tokens as TK
 from ..plans.texts import process_texts
@@ -379,8 +380,58 @@ def enrichment_report(spark, d):
 
 @query("token_counts")
 def token_counts(spark, d):
+    """Counts through the dictionary of pieces, and the columns that follow from them."""
     rows = markdown_docs(spark, d).withColumnRenamed("markdown", "content")
-    return TK.with_tokens(rows).drop("content")
+    return TK.with_token_columns(P.count_by_pieces(rows, ["doc_id"]), "content").drop("content")
+
+
+@query("token_counts_equal_direct", f"SELECT doc_id, true AS same FROM {MD_DOCS}")
+def token_counts_equal_direct(spark, d):
+    """The sum over pieces is what the tokenizer says of the whole text."""
+    rows = markdown_docs(spark, d).select("doc_id", F.col("markdown").alias("content"))
+    counted = P.count_by_pieces(rows, ["doc_id"])
+    return counted.select("doc_id", (F.col("tokens") == K.token_count("content")).alias("same"))
+
+
+# Pieces that hold more than white space; how white space itself is cut needs a look-ahead, which DuckDB's patterns lack.
+_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\p{L}\p{N}]+"
+
+
+@query(
+    "token_pieces",
+    f"SELECT md5(piece) AS digest, count(*) AS n FROM (SELECT unnest(regexp_extract_all(markdown, {D.q(_PIECE)})) AS piece FROM {MD_DOCS}) GROUP BY piece",
+)
+def token_pieces(spark, d):
+    """The dictionary: how often each different piece stands in all documents."""
+    known = P.piece_dictionary(markdown_docs(spark, d), "markdown")
+    return known.where(F.col("key").rlike(r"(?U)\S")).select(F.md5(F.col("key").cast("binary")).alias("digest"), "n")
+
+
+@query(
+    "token_dictionary_size",
+    f"""SELECT count(DISTINCT piece) AS pieces, count(*) AS places, count(DISTINCT piece) < count(*) / 10 AS small
+        FROM (SELECT unnest(regexp_extract_all(markdown, {D.q(_PIECE)})) AS piece FROM {MD_DOCS})""",
+)
+def token_dictionary_size(spark, d):
+    """How much less there is to encode."""
+    known = P.piece_dictionary(markdown_docs(spark, d), "markdown").where(F.col("key").rlike(r"(?U)\S"))
+    pieces, places = F.count("*"), F.sum("n")
+    return known.agg(pieces.alias("pieces"), places.alias("places"), (pieces < places / 10).alias("small"))
+
+
+@query(
+    "token_store_second_run",
+    """WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id + 10000000, text || ' more' FROM documents),
+       seen AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)
+       SELECT doc_id, text IS NOT NULL AND text IN (SELECT text FROM seen) AS reused FROM t""",
+)
+def token_store_second_run(spark, d):
+    """A run over all documents, then one over them and as many new texts: only the new are encoded."""
+    store = P.TokenStore(spark, work_dir(spark, "token-store"))
+    docs = read_table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    store.count(docs, "first", ["doc_id"])
+    more = docs.select((F.col("doc_id") + 10000000).alias("doc_id"), F.concat("content", F.lit(" more")).alias("content"))
+    return store.count(docs.union(more), "second", ["doc_id"]).select("doc_id", "reused")
 
 
 @query(
