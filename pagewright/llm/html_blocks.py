@@ -37,7 +37,8 @@ ENDS = {
 @dataclass
 class Element:
     tag: str
-    words: frozenset[str]
+    #: The words of each name in its class, id and role.
+    names: tuple[frozenset[str], ...]
     parent: int
     depth: int
 
@@ -53,7 +54,7 @@ def blocks_of(html: str) -> tuple[list[Block], list[Element]]:
     """Text blocks in page order. Inline tags join their text to the block around them; ``br`` is white
     space; comments, scripts, styles and other raw elements give nothing; unclosed and stray tags are
     tolerated."""
-    elements = [Element("", frozenset(), 0, 0)]
+    elements = [Element("", (), 0, 0)]
     stack = [0]
     blocks: list[Block] = []
     parts: list[str] = []
@@ -112,10 +113,9 @@ def blocks_of(html: str) -> tuple[list[Block], list[Element]]:
             if tag in ENDS:
                 close(*ENDS[tag])
             if tag not in VOID:
-                words = frozenset(
-                    w.lower() for m in _NAMED.finditer(found["attributes"]) for w in _WORD.findall(next(g for g in m.groups() if g is not None))
-                )
-                elements.append(Element(tag, words, stack[-1], elements[stack[-1]].depth + 1))
+                given = (next(g for g in m.groups() if g is not None) for m in _NAMED.finditer(found["attributes"]))
+                names = tuple(frozenset(w.lower() for w in _WORD.findall(name)) for value in given for name in value.split())
+                elements.append(Element(tag, names, stack[-1], elements[stack[-1]].depth + 1))
                 stack.append(len(elements) - 1)
         elif tag == "a":
             in_link = not closing

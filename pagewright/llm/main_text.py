@@ -8,9 +8,13 @@ element. The minimum cut labels all blocks of a page at once; blocks on the cont
 The classifier is a logistic regression over what a block looks like (length, links, punctuation, tag,
 place). It learns from the pages themselves: from a bounded sample of ``TRAINING_PAGES`` pages, drawn by a
 hash, and at most ``TRAINING_BLOCKS`` blocks of each, those blocks count as labelled whose ancestors
-leave no doubt (``article`` and ``main`` against ``nav``, ``footer``, ``aside``, ``form`` and elements named as
-such). These ancestors are no inputs of the regression; where they are there, they add
-``ANCESTOR_COST`` to their side. Every page is labelled, whole.
+speak for a side (``article`` and ``main`` against ``nav``, ``footer``, ``aside``, ``form`` and elements named as
+such; in a name of several words, such as ``main-menu`` or ``article-comments``, the part against wins). These
+ancestors are no inputs of the regression; where they are there, they add ``TEXT_COST`` or ``NOT_TEXT_COST`` to
+their side of the cut. ``TEXT_COST`` is less than the most the regression can say, and neighbours
+settle what is close, so lists of links in an element for text may go. ``NOT_TEXT_COST`` is a little more than
+they reach for a single block, as adverts and comments amid a text often read like text; blocks without
+ancestors that speak, and all others, are left to the cut. Every page is labelled, whole.
 
 Null html counts as empty and gives empty text. Null and repeated ids keep their rows. Extra columns are
 not read.
@@ -29,8 +33,8 @@ from pagewright.llm.max_flow import CutGraph
 from pagewright.llm.sampling import drawn
 
 TRAINING_PAGES, TRAINING_BLOCKS = 1000, 60
-#: Costs in logits; a smoothness edge is halved for each step between the parents of two blocks.
-ANCESTOR_COST, MOST_EVIDENCE, SMOOTHNESS, SIBLING = 6.0, 3.0, 1.0, 0.5
+#: Costs in logits; a smoothness edge is halved for each step between the elements that hold two blocks.
+TEXT_COST, NOT_TEXT_COST, MOST_EVIDENCE, SMOOTHNESS, SIBLING = 2.75, 4.25, 3.0, 1.0, 0.5
 #: Whole-number capacities per logit.
 UNIT = 1000
 
@@ -45,10 +49,33 @@ NOT_TEXT_WORDS = frozenset(
     "complementary".split()
 )
 TEXT_WORDS = frozenset("article content main post entry story".split())
+#: Names with these say something about another element.
+ABOUT_OTHERS = frozenset("has with no without not".split())
 
 FEATURES = 12
 
 
+def side_of_name(words: frozenset[str]) -> int:
+    """What one name says: 1 for content, -1 for boilerplate, 0 for neither."""
+    if words & ABOUT_OTHERS:
+        return 0
+    against, text = words & NOT_TEXT_WORDS, words & TEXT_WORDS
+    if against:
+        # The header of an article holds its title.
+        return 1 if text and against == {"header"} else -1
+    return 1 if text else 0
+
+
+def own_side(x: Element) -> int:
+    """What the tag and the names of an element say; what is against content wins."""
+    if x.tag in ("html", "body"):
+        return 0
+    said = [side_of_name(words) for words in x.names]
+    if x.tag in NOT_TEXT_TAGS or -1 in said:
+        return -1
+    return 1 if x.tag in TEXT_TAGS or 1 in said else 0
+
+
 def side_of(element: int, elements: list[Element], known: dict[int, int]) -> int:
     """1 if the ancestors say content, -1 if any says boilerplate, 0 if none says anything."""
     path = []
@@ -58,13 +85,9 @@ def side_of(element: int, elements: list[Element], known: dict[int, int]) -> int
     side = known.get(element, 0)
     for e in reversed(path):
         x = elements[e]
-        if side >= 0 and x.tag not in ("html", "body"):
-            named = bool(x.words & NOT_TEXT_WORDS) and not x.words & TEXT_WORDS
+        if side >= 0:
             # A header inside an article holds its title.
-            if x.tag in NOT_TEXT_TAGS or named or (x.tag == "header" and side == 0):
-                side = -1
-            elif x.tag in TEXT_TAGS or "main" in x.words or "article" in x.words:
-                side = 1
+            side = -1 if x.tag == "header" and side == 0 else own_side(x) or side
         known[e] = side
     return side
 
@@ -128,7 +151,10 @@ def label(blocks: list[Block], elements: list[Element], model: BlockModel) -> li
         return []
     known: dict[int, int] = {}
     sides = [side_of(b.element, elements, known) for b in blocks]
-    cost = model.evidence(features(blocks, elements)) + ANCESTOR_COST * np.array(sides)
+    hint = np.select([np.array(sides) > 0, np.array(sides) < 0], [TEXT_COST, -NOT_TEXT_COST], 0.0)
+    cost = model.evidence(features(blocks, elements)) + hint
+    # A block stands in its parent element, or in its own where that says what it is.
+    holders = [b.element if own_side(elements[b.element]) else elements[b.element].parent for b in blocks]
     graph = CutGraph(len(blocks))
     latest: dict[int, int] = {}
     for i, b in enumerate(blocks):
@@ -136,7 +162,7 @@ def label(blocks: list[Block], elements: list[Element], model: BlockModel) -> li
         graph.terminal(i, max(units, 0), max(-units, 0))
         parent = elements[b.element].parent
         if i:
-            steps = _steps(parent, elements[blocks[i - 1].element].parent, elements)
+            steps = _steps(holders[i], holders[i - 1], elements)
             graph.smooth(i - 1, i, round(SMOOTHNESS * UNIT * 0.5**steps))
         if latest.get(parent, i - 1) != i - 1:
             graph.smooth(latest[parent], i, round(SIBLING * UNIT))

@@ -50,6 +50,53 @@ def test_pages(html, want):
     assert got == want if want is not None else got
 
 
+#: Boilerplate by a name of several words, or by one name of several.
+AROUND = [
+    '<div class="main-menu"><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></div>',
+    f'<div id="main-sidebar"><p>{LONG}</p></div>',
+    f'<section class="article-comments"><p>{LONG}</p><p>{LONG}</p></section>',
+    f'<div class="siteNavigation mainNav"><p>{LONG}</p></div>',
+    f'<div class="content cookie-banner">{LONG}</div>',
+    f'<div role="complementary" class="story">{LONG}</div>',
+    f'<div id="post-footer"><p>{LONG}</p></div>',
+]
+INSIDE = [
+    f'<div class="post-comments"><p>{LONG}</p></div>',
+    f'<div class="content-ad"><p>{LONG}</p></div>',
+    '<div class="entry-share"><a href=/s>Share</a> <a href=/t>Send</a></div>',
+    f'<div class="story_promo"><div><p>{LONG}</p></div></div>',
+    f'<article class="comment"><p>{LONG}</p></article>',
+    f'<div class="relatedPosts">{LONG}</div>',
+    f'<div id=newsletter-signup><p>{LONG}</p></div>',
+    f'<ul class="pagination"><li>{LONG}</ul>',
+]
+KEPT = ['class="post-content"', 'class="article-header"', 'id=main', 'class="content has-sidebar"', 'class="entry no-comments"']
+
+
+@pytest.mark.parametrize("part", AROUND)
+def test_compound_names_around_the_article(part):
+    for page in (part + f"<article><h1>T</h1><p>{LONG}</p></article>", f"<main><article><h1>T</h1><p>{LONG}</p></article></main>" + part):
+        assert main_text(page, BlockModel()) == f"T\n{LONG}"
+
+
+@pytest.mark.parametrize("part", INSIDE)
+def test_compound_names_inside_the_article(part):
+    assert main_text(f"<article><p>{LONG}</p>{part}<p>{LONG} End.</p></article>", BlockModel()) == f"{LONG}\n{LONG} End."
+
+
+@pytest.mark.parametrize("name", KEPT)
+def test_names_that_do_not_speak_against_text(name):
+    assert main_text(f"<body><div {name}><h2>Title</h2><p>{LONG}</p></div></body>", BlockModel()) == f"Title\n{LONG}"
+
+
+def test_the_cut_outvotes_hints():
+    """A list of links inside an element for content goes with the links around it, and stays amid text."""
+    links = "".join(f"<li><a href=/{i}>Link {i}</a>" for i in range(12))
+    page = f"<main><p>{LONG}</p><p>{LONG}</p></main><main><ul>{links}</ul></main><nav><ul>{links}</ul></nav>"
+    assert main_text(page, BlockModel()) == f"{LONG}\n{LONG}"
+    assert main_text(f"<main><p>{LONG}</p><p><a href=/x>Link</a></p><p>{LONG}</p></main>", BlockModel()) == f"{LONG}\nLink\n{LONG}"
+
+
 def test_page_without_hints():
     """No telling elements or names: length and links decide, and neighbours agree."""
     html = "<div><div>" + "".join(f"<div><a href=/{i}>Link {i}</a></div>" for i in range(8)) + "</div><div>"
