@@ -196,7 +196,7 @@ def train(documents: DataFrame, families: dict[str, list[str]] = TEMPLATES, seed
             y += [k] * len(made)
     other = len(families)
     texts = documents.select("doc_id", "text").where(f"length(text) BETWEEN 1 AND {UNKNOWN_CHARS}")
-    for row in drawn(texts, UNKNOWN_DOCUMENTS, "licence", "doc_id", of=documents.count()).collect():
+    for row in drawn(texts, UNKNOWN_DOCUMENTS, "licence", of=documents.count()).collect():
         found = [x for x in paragraphs(row.text.encode()) if x]
         for words in rng.sample(found, min(UNKNOWN_LINES, len(found))):
             if all(model.resemblance(words, k)[0] < 0.5 and not model.resemblance(words, k)[2] for k in range(other)):

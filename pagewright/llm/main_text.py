@@ -178,7 +178,7 @@ def main_text(html: str, model: BlockModel) -> str:
 def train(pages: DataFrame) -> BlockModel:
     """A model from a bounded sample of ``pages`` (html)."""
     stored = pages.select("page_id", "html").where("html IS NOT NULL")
-    sample = drawn(stored, TRAINING_PAGES, "pages", "page_id", of=pages.count()).select("html")
+    sample = drawn(stored, TRAINING_PAGES, "pages", of=pages.count()).select("html")
 
     def measure(batches):
         for b in portions(batches, 100):

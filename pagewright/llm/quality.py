@@ -7,7 +7,7 @@ tells text that repeats itself) and the length (which tells how much a differenc
 
 Labels are learned only from rows whose crc32 of the doc id, as text, leaves no 1 modulo 3: remainder 0
 gives the dictionaries, remainder 2 the calibration. Both read bounded samples drawn by a hash of the
-id: ``DICTIONARY_DOCUMENTS`` of each label, of at most ``DICTIONARY_CHARS`` characters each, and
+row: ``DICTIONARY_DOCUMENTS`` of each label, of at most ``DICTIONARY_CHARS`` characters each, and
 ``CALIBRATION_DOCUMENTS`` rows. Every document is scored, whole.
 
 Null and empty texts score the share of good rows in the calibration sample. Null ids count as not
@@ -89,7 +89,7 @@ def train(documents: DataFrame, labels: DataFrame) -> QualityModel:
 
     def some(n: int, fold: int, *kinds: int) -> DataFrame:
         rows = known.where((F.col("_fold") == fold) & F.col("_label").isin(*kinds))
-        return drawn(rows, n, "quality", "_id", of=sum(sizes.get((fold, k), 0) for k in kinds))
+        return drawn(rows, n, "quality", of=sum(sizes.get((fold, k), 0) for k in kinds))
 
     kept = some(DICTIONARY_DOCUMENTS, 0, 1).union(some(DICTIONARY_DOCUMENTS, 0, 0)).union(some(CALIBRATION_DOCUMENTS, 2, 0, 1))
     # Bounded by the three sample sizes, so small enough to broadcast.
