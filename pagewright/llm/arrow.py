@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from pagewright.llm.ids import release
 
@@ -21,6 +23,18 @@ def portions(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
             yield batch.slice(i, rows)
 
 
+def text_portions(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts have about ``size`` bytes, or one row with a longer text."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
+        first = 0
+        while first < batch.num_rows:
+            before = upto[first - 1] if first else 0
+            end = max(int(np.searchsorted(upto, before + size, "right")), first + 1)
+            yield batch.slice(first, end - first)
+            first = end
+
+
 def add_columns(df, text: str, added: str, make) -> "DataFrame":  # noqa: F821
     """``df`` with columns computed from one text column, batch by batch.
 

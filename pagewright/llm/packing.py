@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.arrow import byte_texts, portions
-from pagewright.llm.ids import default_path, encoder
+from pagewright.llm.arrow import byte_texts, text_portions
+from pagewright.llm.ids import GROUP_BYTES, default_path, encoder, release
 from pagewright.session import cut_lineage
 
 CAPACITY = 4096
@@ -232,9 +232,10 @@ def pieces_of(
     tokenizer = tokenizer or default_path()
 
     def cut(batches):
+        release(keep=tokenizer)
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.dtype).tobytes()
-        for b in portions(batches, 500):
+        for b in text_portions(batches, 1, GROUP_BYTES):
             docs, pieces, starts, lengths, crcs, parts = [], [], [], [], [], []
             for doc, raw in zip(b.column(0).to_pylist(), enc.encode(byte_texts(b.column(1)))):
                 ids = np.frombuffer(raw + end, enc.dtype).astype("<u4")

@@ -30,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.arrow import byte_texts, portions
-from pagewright.llm.ids import default_path, encoder
+from pagewright.llm.arrow import byte_texts, text_portions
+from pagewright.llm.ids import GROUP_BYTES, default_path, encoder, release
 from pagewright.llm.sampling import drawn
 
 MAGIC, END = b"PWTF", b"FTWP"
@@ -43,13 +43,14 @@ LEVEL = 3
 
 
 def train_dictionary(documents: DataFrame, tokenizer: str, end_id: int) -> bytes:
-    """A dictionary from the ids of a bounded sample, drawn by a hash of the doc id; empty if too little."""
+    """A dictionary from the ids of a bounded sample, drawn by a hash of the row; empty if too little."""
     short = documents.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
-    sample = drawn(short, SAMPLE_DOCUMENTS, "dictionary", "doc_id", of=documents.count()).select("text")
+    sample = drawn(short, SAMPLE_DOCUMENTS, "dictionary", of=documents.count()).select("text")
 
     def ids(batches):
+        release(keep=tokenizer)
         enc = encoder(tokenizer)
-        for b in portions(batches, 500):
+        for b in text_portions(batches, 0, GROUP_BYTES):
             yield pa.record_batch([pa.array([_serial(x, enc, end_id) for x in enc.encode(byte_texts(b.column(0)))], pa.binary())], ["ids"])
 
     samples = [bytes(r.ids) for r in sample.mapInArrow(ids, "ids binary").collect()]
@@ -80,11 +81,12 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str | None = N
     )
 
     def shard(batches):
+        release(keep=tokenizer)
         enc, out, at = encoder(tokenizer), [], 0
         press = _compressor(dictionary)
         docs, gone, places, sizes, counts = [], [], [], [], []
         width = enc.dtype.itemsize
-        for b in portions(batches, 500):
+        for b in text_portions(batches, 1, GROUP_BYTES):
             out = []
             if not docs:
                 out.append(struct.pack(_HEADER, MAGIC, 1, width, TaskContext.get().partitionId(), digest))
