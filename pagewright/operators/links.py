@@ -47,9 +47,9 @@ def visit_once(urls: DataFrame, url: str = "url", depth: str = "depth") -> DataF
     )
 
 
-def page_budget(frontier: DataFrame, max_pages: int) -> DataFrame:
-    """The first ``max_pages`` URLs, shallow ones first."""
-    return frontier.orderBy("depth", "url").limit(max_pages)
+def page_budget(frontier: DataFrame, max_pages: int | None) -> DataFrame:
+    """The first ``max_pages`` URLs, shallow ones first; all of them without a budget."""
+    return frontier if max_pages is None else frontier.orderBy("depth", "url").limit(max_pages)
 
 
 def unvisited(candidates: DataFrame, visited: DataFrame, url: str = "url") -> DataFrame:

@@ -47,21 +47,29 @@ def nest_chunks(chunks: DataFrame, keys: Sequence[str], fields: Sequence[str]) -
     )
 
 
-def run_totals(pages: DataFrame) -> DataFrame:
-    """One row over page records (status, total_chunks, total_tokens)."""
-    agg = pages.agg(
+def total_metrics() -> list[Column]:
+    """The sums of a run over page records (status, total_chunks, total_tokens)."""
+    return [
         F.count("*").alias("total_requests"),
         F.count_if(F.col("status") == SUCCESS).alias("successful_requests"),
         F.count_if(F.col("status") == REQUEST_FAILED).alias("failed_requests"),
         F.count_if(F.col("status") == EXTRACTION_FAILED).alias("failed_extractions"),
         F.coalesce(F.sum("total_chunks"), F.lit(0)).alias("total_chunks"),
         F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("total_tokens"),
-    )
-    return agg.withColumn(
+    ]
+
+
+def with_success_rate(totals: DataFrame) -> DataFrame:
+    return totals.withColumn(
         "success_rate", whole_ratio(F.col("successful_requests"), F.col("total_requests"), 100)
     )
 
 
+def run_totals(pages: DataFrame) -> DataFrame:
+    """One row over page records (status, total_chunks, total_tokens)."""
+    return with_success_rate(pages.agg(*total_metrics()))
+
+
 def crawl_rates(pages: DataFrame, seconds: float | Column) -> DataFrame:
     """Success rate, pages per second, chunks per page and tokens per chunk."""
     took = seconds if isinstance(seconds, Column) else F.lit(float(seconds))

@@ -26,7 +26,8 @@ class PageJobParams:
     include_globs: tuple[str, ...] = ()
     chunk_size: int = 1000
     chunk_overlap: int = 100
-    max_pages: int = 1000
+    #: Pages of a run; None for all that are reached.
+    max_pages: int | None = 1000
     separators: tuple[str, ...] = ("\n\n", "\n", " ", "")
     char_threshold: int = 500
     min_content_length: int = 100
@@ -41,7 +42,8 @@ class PageJobParams:
         _int_in("crawl_depth", self.crawl_depth, 1, 10)
         _int_in("chunk_size", self.chunk_size, 100, 8000)
         _int_in("chunk_overlap", self.chunk_overlap, 0, 500)
-        _int_in("max_pages", self.max_pages, 1, 10_000)
+        if self.max_pages is not None:
+            _int_in("max_pages", self.max_pages, 1, 10_000)
         if self.chunk_overlap >= self.chunk_size:
             raise ParameterError("chunk_overlap must be less than chunk_size", "chunk_overlap")
         if not self.separators:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..operators.rollups import SUCCESS, run_totals
+from ..operators.rollups import SUCCESS, run_totals, total_metrics, with_success_rate
 
 #: Schema of one nested page record.
 PAGE_RESULT_SCHEMA = """
@@ -95,6 +95,30 @@ def write_results(results: DataFrame, path: str, quarantine: str) -> None:
     failures(results).write.mode("overwrite").parquet(quarantine)
 
 
+#: What :func:`write_run` observes of the records it writes.
+RUN_METRICS = (
+    "total_requests", "successful_requests", "failed_requests", "failed_extractions", "total_chunks", "total_tokens",
+)
+
+
+def write_run(results: DataFrame, path: str) -> DataFrame:
+    """Page records and the totals of their run, in one pass over ``results``; returns the totals, one row.
+
+    Records go to ``path/records`` by status, so failures are a folder of their own. The totals are taken from
+    the rows as they are written and then put to ``path/statistics`` as JSON: the job behind ``results``
+    runs once. Each task that succeeds counts once, a task that is repeated does not.
+    """
+    spark = results.sparkSession
+    seen = Observation()
+    results.observe(seen, *total_metrics()).write.mode("overwrite").partitionBy("status").parquet(f"{path}/records")
+    row = seen.get
+    totals = spark.createDataFrame(
+        [tuple(int(row[m] or 0) for m in RUN_METRICS)], ", ".join(f"{m} BIGINT" for m in RUN_METRICS)
+    )
+    with_success_rate(totals).coalesce(1).write.mode("overwrite").json(f"{path}/statistics")
+    return with_success_rate(totals)
+
+
 def write_run_statistics(results: DataFrame, path: str) -> None:
     """One JSON row of run totals."""
     run_totals(results).coalesce(1).write.mode("overwrite").json(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("scalars", "chunks", "splits", "web", "ops")
+AREAS = ("scalars", "chunks", "splits", "forms", "web", "ops")
 
 
 def load():

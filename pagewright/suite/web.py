@@ -219,11 +219,22 @@ def page_rollup(spark, d):
         FROM {_STATUS}""",
 )
 def page_run_statistics(spark, d):
-    """Run statistics written as JSON and read back."""
-    path = work_dir(spark, "run-statistics")
-    sinks.write_run_statistics(P.page_results(pages(spark, d), tight_params(), crawled_at()), path)
+    """Run statistics, taken while the records are written, written as JSON and read back."""
+    path = work_dir(spark, "run")
+    sinks.write_run(P.page_results(pages(spark, d), tight_params(), crawled_at()), path)
     names = ("total_requests", "successful_requests", "failed_requests", "failed_extractions", "success_rate")
-    return spark.read.json(path).select(*longs(*names))
+    return spark.read.json(f"{path}/statistics").select(*longs(*names))
+
+
+@query(
+    "page_run_records",
+    f"""SELECT url, CASE WHEN error IS NULL THEN 'success' ELSE 'extraction_failed' END AS status, error FROM {_STATUS}""",
+)
+def page_run_records(spark, d):
+    """The records of the same pass, by status."""
+    path = work_dir(spark, "run")
+    sinks.write_run(P.page_results(pages(spark, d), tight_params(), crawled_at()), path)
+    return spark.read.parquet(f"{path}/records").select("url", "status", "error")
 
 
 @query(
@@ -359,22 +370,47 @@ def link_frontier_filtered(spark, d):
     return reached.select("url", *longs("depth"), "decision")
 
 
+# A run without a budget, from all pages without a query string.
+_RUN = _REACH.replace("WHERE i IN (0, 3)", "WHERE url NOT LIKE '%?%'")
+
+
+def _run_seeds(spark, d):
+    return pages(spark, d).where(~U.normalize("url").contains("?")).select("url")
+
+
 @query(
     "seeded_run",
-    f"""WITH run AS (SELECT url, depth FROM ({_REACH}) WHERE decision = 'allowed' ORDER BY depth, url LIMIT 20)
+    f"""WITH run AS (SELECT url, depth FROM ({_RUN}) WHERE decision = 'allowed')
         SELECT r.url, r.depth, CASE WHEN s.error IS NULL THEN 'success' ELSE 'extraction_failed' END AS status
         FROM run r JOIN (SELECT *, {D.u_norm('url')} AS norm FROM {_STATUS}) s ON s.norm = r.url""",
 )
 def seeded_run(spark, d):
-    """Seeds over links, globs, depth and budget to the state of the visited pages."""
+    """Seeds over links, globs and depth to the state of all pages that are reached."""
     stored = pages(spark, d)
-    seeds = stored.where(F.col("page_id").isin(0, 3)).select("url")
-    p = P.PageJobParams(crawl_depth=MAX_DEPTH, include_globs=INCLUDE, max_pages=20, min_content_length=600, max_content_length=4000)
-    visited = cut_lineage(CR.visited_urls(seeds, stored, p, links=ring_links(spark, d), exclude=("**/*.html",)))
+    p = P.PageJobParams(crawl_depth=MAX_DEPTH, include_globs=INCLUDE, max_pages=None, min_content_length=600, max_content_length=4000)
+    visited = cut_lineage(CR.visited_urls(_run_seeds(spark, d), stored, p, links=ring_links(spark, d), exclude=("**/*.html",)))
     done = P.page_content(CR.visited_pages(visited, stored), p).select(U.normalize("url").alias("url"), "status")
     return visited.join(done, "url").select("url", *longs("depth"), "status")
 
 
+@query(
+    "seeded_run_records",
+    f"""WITH run AS (SELECT url FROM ({_RUN}) WHERE decision = 'allowed')
+        SELECT s.url, CASE WHEN error IS NULL THEN 'success' ELSE 'extraction_failed' END AS status, method AS extraction_method,
+        md5(CASE WHEN error IS NULL THEN {D.sub(D.clean('markdown'), D.WS)} ELSE '' END) AS text_digest, true AS sums_agree
+        FROM run r JOIN (SELECT *, {D.u_norm('url')} AS norm FROM {_STATUS.replace('600', '100').replace('4000', '1000000')}) s ON s.norm = r.url""",
+)
+def seeded_run_records(spark, d):
+    """Seeds to nested page records, all reachable pages: without overlap the chunks of a record hold its text."""
+    p = P.PageJobParams(crawl_depth=MAX_DEPTH, include_globs=INCLUDE, max_pages=None, chunk_overlap=0)
+    r = CR.crawl(_run_seeds(spark, d), pages(spark, d), p, crawled_at(), links=ring_links(spark, d), exclude=("**/*.html",))
+    text = F.regexp_replace(F.array_join(F.transform("chunks", lambda c: c["content"]), ""), D.WS, "")
+    sums = (F.col("total_chunks") == F.size("chunks")) & (
+        F.col("total_tokens") == F.aggregate("chunks", F.lit(0).cast("long"), lambda acc, c: acc + c["tokens"])
+    )
+    return r.select("url", "status", "extraction_method", F.md5(text).alias("text_digest"), sums.alias("sums_agree"))
+
+
 @query(
     "page_chunk_words",
     f"""SELECT page_id, length(markdown) AS markdown_length, {D.words(D.clean('markdown'))} AS words FROM {_STATUS.replace('600', '100').replace('4000', '1000000')} WHERE error IS NULL""",
