@@ -161,6 +161,16 @@ def chunk_id(url: Column | str, index: Column | str, content: Column | str) -> C
     )
 
 
+def chunk_key(url: Column | str, index: Column | str, content: Column | str) -> Column:
+    """A key of 128 bits over the whole of a chunk and where it comes from, as 32 hex digits.
+
+    The short ids of :func:`chunk_id` hold two hashes of 32 bits, which collide in large corpora; this one
+    is what to join by. The parts are set apart by lengths, so no two lists of parts give the same text.
+    """
+    source, body = F.coalesce(col(url), F.lit("")), F.coalesce(col(content), F.lit(""))
+    return F.md5(F.concat_ws(":", F.length(source).cast("string"), source, col(index).cast("string"), body).cast("binary"))
+
+
 def preview(text: Column | str, limit: int = 200) -> Column:
     c = col(text)
     return F.concat(

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.core import ratio, round_half_up
 from ..session import cut_lineage
-from .chunking import chunk_stats
 from .enrich import enrichment_facts, facts_stats
+from .keyed import variance_pop
 from .tokens import batch_totals, token_distribution
 
 SUCCESS = "success"
@@ -82,24 +82,61 @@ def crawl_rates(pages: DataFrame, seconds: float | Column) -> DataFrame:
     )
 
 
-def stage_stats(chunks: DataFrame, key: str, original_length: str, include_enrichment: bool = True) -> DataFrame:
-    """The corpus-wide stages as (stage, metric, value) rows.
+def _corpus_chunking(chunks: DataFrame, key: str, original_length: str) -> DataFrame:
+    """One row of size and overlap statistics over all documents."""
+    size = F.col("length").cast("long")
+    per_doc = chunks.groupBy(key).agg(
+        F.count("*").alias("n"), F.sum(size).alias("sum"), F.sum(size * size).alias("sq"), F.min(size).alias("least"), F.max(size).alias("most"),
+        F.sum((F.col("overlap_start") + F.col("overlap_end")).cast("long")).alias("overlap"), F.max(original_length).cast("long").alias("original"),
+    )
+    total = per_doc.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "sum", "sq", "overlap", "original")],
+        F.min("least").alias("min_chunk_size"), F.max("most").alias("max_chunk_size"),
+    )
+    n, original = F.col("n"), F.col("original")
+    return total.select(
+        n.alias("total_chunks"),
+        whole_ratio(F.col("sum"), n).alias("average_chunk_size"),
+        "min_chunk_size", "max_chunk_size",
+        round_half_up(variance_pop(n, F.col("sum"), F.col("sq"))).alias("size_variance"),
+        F.col("overlap").alias("overlap_chars"),
+        round_half_up(ratio(F.col("overlap"), original), 3).alias("overlap_ratio"),
+        F.when(original > 0, F.col("sum") / original).otherwise(1.0).alias("compression_ratio"),
+        F.when(original > 0, n / (original / 1024.0)).otherwise(0.0).alias("chunks_per_kb"),
+    )
+
+
+def stage_stats(
+    chunks: DataFrame, key: str, original_length: str, include_enrichment: bool = True, processing_ms: float | Column | None = None
+) -> DataFrame:
+    """The stages of a run over a corpus as (stage, metric, value) rows.
 
-    ``chunks`` are read once: what the stages need of a row is narrow and kept.
+    Stages are chunking, tokenization, distribution (of tokens), enrichment, content_types (chunks of each) and, given the
+    run's time in milliseconds, performance. ``chunks`` are read once: what the stages need of a row is narrow and kept.
     """
     facts = [F.col(c) for c in (key, original_length, "length", "overlap_start", "overlap_end", "tokens", "word_count", "cost")]
     chunks = cut_lineage(chunks.select(*facts, *(enrichment_facts() if include_enrichment else [])))
-    per_doc = chunk_stats(chunks, key, original_length)
-    chunking = per_doc.agg(
-        F.sum("total_chunks").cast("double").alias("total_chunks"),
-        F.max("max_chunk_size").cast("double").alias("max_chunk_size"),
-        F.min("min_chunk_size").cast("double").alias("min_chunk_size"),
-        F.sum("overlap_chars").cast("double").alias("overlap_chars"),
-    )
-    stages = [("chunking", chunking), ("tokenization", batch_totals(chunks)), ("distribution", token_distribution(chunks))]
+    totals = batch_totals(chunks)
+    stages = [
+        ("chunking", _corpus_chunking(chunks, key, original_length)),
+        ("tokenization", totals),
+        ("distribution", token_distribution(chunks)),
+    ]
+    if processing_ms is not None:
+        took = processing_ms if isinstance(processing_ms, Column) else F.lit(float(processing_ms))
+        seconds = took / 1000.0
+        speed = totals.select(
+            took.alias("total_processing_time"),
+            F.coalesce(F.try_divide(F.col("chunks"), seconds), F.lit(0.0)).alias("chunks_per_second"),
+            F.coalesce(F.try_divide(F.col("total_tokens"), seconds), F.lit(0.0)).alias("tokens_per_second"),
+            F.coalesce(F.try_divide(took, F.col("chunks")), F.lit(0.0)).alias("average_time_per_chunk"),
+        )
+        stages.append(("performance", speed))
+    kinds = None
     if include_enrichment:
         stages.append(("enrichment", facts_stats(chunks).drop("content_types")))
-    out = None
+        kinds = chunks.groupBy(F.col("kind").alias("metric")).agg(F.count("*").cast("double").alias("value"))
+    out = None if kinds is None else kinds.select(F.lit("content_types").alias("stage"), "metric", "value")
     for stage, df in stages:
         long = df.select([F.col(c).cast("double") for c in df.columns]).unpivot(
             [], df.columns, "metric", "value"

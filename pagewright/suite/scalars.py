@@ -494,6 +494,15 @@ def chunk_ids(spark, d):
     return markdown_docs(spark, d).select("doc_id", T.chunk_id("url", F.lit(0), "markdown").alias("chunk_id"))
 
 
+@query(
+    "chunk_keys",
+    f"SELECT doc_id, md5(length(url) || ':' || url || ':0:' || markdown) AS chunk_key FROM {MD_DOCS}",
+)
+def chunk_keys(spark, d):
+    """Keys that whole corpora can be joined by."""
+    return markdown_docs(spark, d).select("doc_id", T.chunk_key("url", F.lit(0), "markdown").alias("chunk_key"))
+
+
 @query(
     "text_preview",
     "SELECT doc_id, substr(text, 1, 200) || CASE WHEN length(text) > 200 THEN '...' ELSE '' END AS preview FROM documents",
