@@ -14,6 +14,7 @@ SPACE_HEADINGS = (
     (r"(#{1,6}[^\n]*)\n([^\n#])", "$1\n\n$2"),
 )
 
+# Patterns and replacements, in order.
 PRE_STEPS = (
     (rf"(?i)<p[^>]*>{WS}*</p>", ""),
     (r"(?i)<p[^>]*>([^<]*)<p[^>]*>", "<p>$1</p><p>"),
@@ -27,6 +28,7 @@ PRE_STEPS = (
 )
 PRE_STEPS_KEEP_CODE = PRE_STEPS[:3] + PRE_STEPS[4:]
 
+# Patterns and replacements, in order.
 POST_STEPS = (
     (r"\n{4,}", "\n\n\n"),
     (r"^\n+", ""),
@@ -37,6 +39,7 @@ POST_STEPS = (
     *SPACE_HEADINGS,
 )
 
+# Patterns and replacements, in order.
 TEXT_STEPS = (
     (r"(?s)```.*?```", " "),
     (r"`[^`]+`", " "),
@@ -107,6 +110,7 @@ def conversion_stats(html: Column, markdown: Column, text: Column) -> Column:
     )
 
 
+# The messages.
 def conversion_warnings(prepared_html: Column, raw_markdown: Column, markdown: Column) -> Column:
     return warnings_of(
         (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .core import NON_WS, WS, col, count_matches, ratio, replace_all, round_half_up, warnings_of
 from .markdown import FENCE, IMAGE, LINK, SPACE_FENCES, SPACE_HEADINGS, TABLE_ROW
 
+# Patterns and replacements of the clean-up, in order, and of what is counted.
 CLEAN_STEPS = (
     (r"\r\n", "\n"),
     (r"\r", "\n"),

@@ -29,18 +29,18 @@ BLOCK_TAGS = (
     "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "table", "tbody",
     "td", "tfoot", "th", "thead", "tr", "ul",
 )
-TAG_WEIGHT = {"article": 8, "main": 8, "div": 5, "section": 5, "td": 3}
-GOOD_NAME = r"(?i)article|body|content|entry|hentry|main|page|post|text|blog|story"
-BAD_NAME = (
-    r"(?i)\bad\b|banner|breadcrumb|combx|comment|contact|cookie|footer|masthead|menu|meta|nav|"
-    r"promo|related|scroll|shoutbox|sidebar|social|sponsor|subscribe|tags|widget"
-)
-NAME_WEIGHT = 25
+# Weights and names are our own choice. Names for content are the words of the fallback selectors; names
+# against it are the removed elements, the landmark roles of the ARIA standard, and a few words beside them.
+TAG_WEIGHT = {"article": 10, "main": 10}
+GOOD_NAME = "(?i)" + "|".join(sorted({w for s in FALLBACK_SELECTORS for w in s.strip(".#").split("-")} - {"body"}))
+LANDMARKS = ("banner", "complementary", "contentinfo", "navigation", "search")
+BAD_NAME = "(?i)" + "|".join((*NOISE_TAGS[2:], *LANDMARKS, r"\bads?\b", "advert", "comment", "cookie", "menu", "share", "sidebar"))
+NAME_WEIGHT = 20
 MIN_BLOCK = 25
 #: Pages with less html are not parsed.
 MIN_PAGE_LENGTH = 100
-# What a block of text gives the box around it and the next two out.
-POINT_SHARES = (1.0, 0.5, 1.0 / 6)
+# What a block of text gives the box around it and the next two out: all, a half and a quarter.
+POINT_SHARES = (1.0, 0.5, 0.25)
 
 
 def _selector_rank(tag: Column, classes: Column, ident: Column) -> Column:
@@ -95,7 +95,7 @@ def content_regions(pages: DataFrame) -> DataFrame:
 
     Blocks of running text of at least 25 characters score
     ``1 + commas + min(chars / 100, 3)`` for the element around them, half of it
-    for the next one out and a sixth for the one after. Tag and class weights
+    for the next one out and a quarter for the one after. Tag and class weights
     are added, and the share of text outside links scales the sum.
     """
     w = W.partitionBy("page_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
@@ -304,6 +304,7 @@ def extract_content(
     )
 
 
+# Stages and messages of the gates below.
 def _gate(stage: str, message: Column | str) -> Column:
     text = F.lit(message) if isinstance(message, str) else message
     return F.struct(F.lit(stage).alias("stage"), text.alias("message"))
