@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions import html as H
 from ..functions import urls as U
 from ..session import cut_lineage
+from .seen import build_filter, merge_filters, parts_for, unseen
 from .keyed import HOT_KEYS
 
 HREF = r"""(?is)<a\b[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
@@ -38,6 +39,10 @@ def page_links(pages: DataFrame) -> DataFrame:
     )
 
 
+#: Links from which a frontier keeps a filter of the URLs it has seen.
+FILTER_ABOVE = 1_000_000
+
+
 def visit_once(urls: DataFrame, url: str = "url", depth: str = "depth") -> DataFrame:
     """Each normalised URL once, with the smallest depth it was seen at."""
     return (
@@ -67,6 +72,7 @@ def expand_frontier(
     include: Sequence[str] = ("**",),
     exclude: Sequence[str] = (),
     allow: Column | None = None,
+    filter_above: int = FILTER_ABOVE,
 ) -> DataFrame:
     """URLs reached from ``seeds`` (url) over ``links`` (src_url, dst_url).
 
@@ -77,6 +83,9 @@ def expand_frontier(
     Links are deduplicated and laid out by source once. The heaviest sources are
     salted, and their few frontier rows repeated per salt, so that a page with a
     third of all links is not joined in one task. Every hop is checkpointed.
+
+    In a graph of more than ``filter_above`` links, what a hop finds is first held against a Bloom filter of all URLs seen,
+    so that only those it may have seen are anti-joined with them; the rows are the same.
     """
     pairs = links.where(F.col("dst_url").isNotNull()).select(
         U.normalize("src_url").alias("src_url"), U.normalize("dst_url").alias("url")
@@ -101,6 +110,9 @@ def expand_frontier(
         F.lit("allowed").alias("decision"),
     )
     seen = layer = cut_lineage(start)
+    links_of_all = edges.count()
+    parts = parts_for(links_of_all) if links_of_all > filter_above else 0
+    bits = cut_lineage(build_filter(layer, "url", parts)) if parts else None
     for depth in range(1, max_depth + 1):
         sources = (
             layer.where(F.col("decision") == "allowed")
@@ -112,7 +124,8 @@ def expand_frontier(
         if allow is not None:
             reached = reached.where(allow)
         found = reached.groupBy("url").agg(F.min("src_url").alias("parent"))
-        decided = unvisited(found, seen).select(
+        new = unseen(found, seen, bits, "url", parts) if parts else unvisited(found, seen)
+        decided = new.select(
             "url", F.lit(depth).alias("depth"), "parent",
             U.admission("url", F.lit(depth), max_depth, include, exclude).alias("decision"),
         )
@@ -120,6 +133,8 @@ def expand_frontier(
         if layer.isEmpty():
             break
         seen = seen.unionByName(layer)  # layers are kept; nothing is written twice
+        if parts and depth < max_depth:
+            bits = cut_lineage(merge_filters(bits, build_filter(layer, "url", parts)))
     return seen
 
 

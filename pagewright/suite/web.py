@@ -11,6 +11,7 @@ from ..functions import urls as U
 from ..operators import content as C
 from ..operators import html_tokens as HT
 from ..operators import links as L
+from ..operators import seen as SN
 from ..operators import markdown as MD
 from ..operators import rollups as R
 from ..plans import crawl as CR
@@ -292,6 +293,18 @@ def unvisited_urls(spark, d):
     return L.unvisited(urls.select("url").distinct(), urls.where(F.col("page_id") % 3 == 0))
 
 
+@query(
+    "unvisited_urls_filtered",
+    f"SELECT DISTINCT {D.u_norm('url')} AS url FROM pages EXCEPT SELECT {D.u_norm('url')} FROM pages WHERE page_id % 3 = 0",
+)
+def unvisited_urls_filtered(spark, d):
+    """As unvisited_urls, with a Bloom filter before the exact check."""
+    urls = read_table(spark, d, "pages").select("page_id", U.normalize("url").alias("url"))
+    visited = urls.where(F.col("page_id") % 3 == 0).select("url")
+    parts = SN.parts_for(urls.count())
+    return SN.unseen(urls.select("url").distinct(), visited, SN.build_filter(visited, "url", parts), "url", parts)
+
+
 @query(
     "glob_join",
     f"SELECT page_id, url FROM pages WHERE {D.globs('url', INCLUDE)} AND NOT {D.globs('url', EXCLUDE)}",
@@ -342,6 +355,14 @@ def link_frontier(spark, d):
     return frontier(spark, d).select("url", *longs("depth"), "decision")
 
 
+@query("link_frontier_large", _REACH)
+def link_frontier_large(spark, d):
+    """The frontier as a graph with very many links is walked."""
+    seeds = read_table(spark, d, "pages").where(F.col("page_id").isin(0, 3)).select("url")
+    reached = L.expand_frontier(seeds, ring_links(spark, d), MAX_DEPTH, INCLUDE, ("**/*.html",), filter_above=0)
+    return reached.select("url", *longs("depth"), "decision")
+
+
 @query("link_frontier_counts", f"SELECT decision, count(*) AS n FROM ({_REACH}) GROUP BY decision")
 def link_frontier_counts(spark, d):
     return L.decision_counts(frontier(spark, d))
