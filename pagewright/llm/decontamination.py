@@ -103,14 +103,28 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _blocks(benchmark: DataFrame, size: int, block_chars: int) -> list[Broadcast]:
-    """Windows of all items, in blocks of at most ``block_chars`` characters (or one longer item)."""
+    """Windows of all different items, in blocks of at most ``block_chars`` characters, or one bucket of items more.
+
+    Items that are repeated count once. A hash deals them into buckets of about an eighth of a block; the
+    characters of the buckets, summed up in order, say where a block ends.
+    """
     spark = benchmark.sparkSession
-    items = cut_lineage(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL"))
+    items = cut_lineage(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL").distinct())
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-chars * 2 // block_chars)) if chars > block_chars else 1
+    n = max(1, -(-chars * 8 // block_chars)) if chars > block_chars else 1
+    bucket = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    sums = items.groupBy(bucket.alias("bucket")).agg(F.sum(F.length("text")).alias("chars")).orderBy("bucket").collect()
+    ranges: list[list[int]] = []
+    held = block_chars
+    for row in sums:
+        if held >= block_chars:
+            ranges.append([row.bucket, row.bucket])
+            held = 0
+        ranges[-1][1] = row.bucket
+        held += row.chars
     out = []
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
+    for first, last in ranges or [[0, 0]]:
+        rows = items.where(bucket.between(first, last)).collect()
         out.append(spark.sparkContext.broadcast(Windows([(r.item_id, r.text.encode()) for r in rows], size)))
     return out
 

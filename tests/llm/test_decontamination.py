@@ -82,3 +82,15 @@ def test_fm_index_against_search():
 
 def test_merge_spans():
     assert merge_spans([(5, 8), (0, 2), (2, 3), (6, 7), (20, 21)]) == [(0, 3), (5, 8), (20, 21)]
+
+
+def test_blocks_are_bounded_however_often_an_item_is_repeated(spark):
+    from pagewright.llm.decontamination import _blocks
+
+    same = spark.range(20_000).selectExpr("1L AS item_id", "repeat('word ', 40) AS text")
+    (one,) = _blocks(same, 13, 1000)
+    many = spark.range(500).selectExpr("id AS item_id", "concat_ws(' ', transform(sequence(1, 30), x -> concat('w', id, '_', x))) AS text").union(same)
+    blocks = _blocks(many, 13, 20_000)
+    # About 115,000 different characters in blocks of 20,000 to 25,000.
+    assert 4 <= len(blocks) <= 7
+    assert _blocks(same.limit(0), 13, 1000)
