@@ -19,9 +19,12 @@ gets the least doc id it reaches by links.
    group. The sum of coordinate minima bounds the overlap of a point with anything below. Pairs whose
    bound reaches the threshold survive; pairs in one component, or too different in size, do not matter.
    Buckets over ``PAGE`` nodes are cut into pages, and pairs of pages are searched apart.
-5. Verification. Surviving pairs between components are verified on the full sets, the most promising
-   of each component first; components are joined and the rest is looked at again, with a
-   widening share, until no surviving pair between components is left untested.
+5. Forests. Of the surviving pairs of a bucket only a spanning forest leaves it: a pair counts while its ends
+   are not yet joined by pairs that left, and what is joined is searched no further. So a bucket of n nodes gives
+   at most n - 1 pairs, however many of them are near copies of each other.
+6. Verification. The pairs that left are verified on the full sets and the links found make larger components.
+   Where a pair did not link, its bucket is searched again without it, for eight times as many forests as before,
+   until each bucket has a round in which all pairs that left it link. Then whatever is not joined was tested.
 
 No pair is dropped untested, no set is cut, no bucket has a limit. Shingles and sets are told apart by
 64-bit hashes. Null and blank texts have empty sets and link with nothing. Rows with a null doc id take
@@ -32,7 +35,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.arrow import byte_texts, portions
@@ -187,8 +190,17 @@ class RTrees:
             if len(first) == len(starts):
                 break
 
+    def join(self, comp: np.ndarray) -> None:
+        """Go on with other components of the rows."""
+        self.comp = least = most = comp[self.order]
+        for k, (first, ends, last, low, high, _, _, box) in enumerate(self.levels):
+            least, most = np.minimum.reduceat(least, first), np.maximum.reduceat(most, first)
+            self.levels[k] = (first, ends, last, low, high, least, most, box)
+
     def pairs(self, cross: np.ndarray):
-        """Surviving pairs (row, row, bound). ``cross`` per row: only pairs of different sides count."""
+        """Surviving pairs (row, row, bound). ``cross`` per row: only pairs of different sides count.
+
+        Between two yields the caller may :meth:`join` components."""
         roots = np.cumsum(np.concatenate([[False], self.bucket[1:] != self.bucket[:-1]]))
         for at in range(0, len(self.n), QUERIES):
             q = np.arange(at, min(at + QUERIES, len(self.n)))
@@ -224,19 +236,61 @@ def _overlap(a: np.ndarray, i: np.ndarray, b: np.ndarray, k: np.ndarray) -> np.n
     return out
 
 
-def _bucket_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b, bound) of nodes of different components that survive the R-trees of their buckets.
+class Forests:
+    """Spanning forests over the components of each bucket, made of the pairs that are met."""
+
+    def __init__(self, bucket: np.ndarray, comp: np.ndarray, share: int):
+        self.tree = np.unique(np.stack([bucket, comp], 1), axis=0, return_inverse=True)[1].reshape(-1)
+        n = int(self.tree.max()) + 1
+        self.above = [list(range(n)) for _ in range(min(share, n))]
+
+    @staticmethod
+    def _root(above: list[int], x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    def take(self, a: np.ndarray, b: np.ndarray, bound: np.ndarray, refused) -> list[int]:
+        """Which of the pairs of rows a forest has a use for, the greatest bounds first."""
+        chosen = []
+        left, right = self.tree[a].tolist(), self.tree[b].tolist()
+        for k in np.argsort(-bound, kind="stable").tolist():
+            if refused(k):
+                continue
+            for above in self.above:
+                x, y = self._root(above, left[k]), self._root(above, right[k])
+                if x != y:
+                    above[max(x, y)] = min(x, y)
+                    chosen.append(k)
+                    break
+        return chosen
+
+    def joined(self) -> np.ndarray:
+        """Per row, what it is joined with in all forests."""
+        above = self.above[-1]
+        return np.array([self._root(above, x) for x in range(len(above))], np.int64)[self.tree]
+
+
+def _bucket_pairs(members: DataFrame, sets: DataFrame, share: int = 1, refused: DataFrame | None = None) -> DataFrame:
+    """Pairs (key, a, b) of nodes of different components that survive the R-trees of their buckets, as many as
+    ``share`` forests of each bucket hold, without those in ``refused`` (a, b).
 
     ``members``: key, node, comp, for the buckets to be searched.
     """
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    points = sets.select("node", "n", "point")
+    if refused is not None:
+        partners = refused.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("refused"))
+        points = points.join(partners, "node", "left")
+    else:
+        points = points.withColumn("refused", F.lit(None).cast("array<long>"))
     paged = (
         members.join(sizes, "key")
         .withColumn("_pages", F.ceil(F.col("_n") / PAGE).cast("int"))
         .withColumn("_page", F.pmod(F.xxhash64("node"), F.col("_pages")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_pages") - 1)))
         .select("key", F.least("_page", "_other").alias("i"), F.greatest("_page", "_other").alias("k"), "_page", "node", "comp")
-        .join(sets.select("node", "n", "point"), "node")
+        .join(points, "node")
     )
     cells = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = paged.repartition(cells, "key", "i", "k").sortWithinPartitions("key", "i", "k")
@@ -254,14 +308,13 @@ def _bucket_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
             group = _groups(whole)
             cut = int(np.searchsorted(group, group[-1]))  # the last cell may go on
             if cut:
-                yield from _searched(whole.slice(0, cut))
+                yield from _searched(whole.slice(0, cut), share)
             held = whole.slice(cut).to_batches()
             rows = whole.num_rows - cut
         if rows:
-            yield from _searched(pa.Table.from_batches(held).combine_chunks())
+            yield from _searched(pa.Table.from_batches(held).combine_chunks(), share)
 
-    pairs = dealt.mapInArrow(search, "a long, b long, bound double")
-    return pairs.groupBy("a", "b").agg(F.max("bound").alias("bound"))
+    return dealt.mapInArrow(search, "key long, a long, b long")
 
 
 def _groups(rows: pa.Table) -> np.ndarray:
@@ -273,17 +326,20 @@ def _groups(rows: pa.Table) -> np.ndarray:
     return np.cumsum(new)
 
 
-def _searched(rows: pa.Table):
+def _searched(rows: pa.Table, share: int):
     rows = rows.combine_chunks()
-    node = rows["node"].to_numpy()
-    trees = RTrees(
-        _groups(rows), rows["_page"].to_numpy(), rows["n"].to_numpy(), rows["comp"].to_numpy(), _points(rows["point"].combine_chunks())
-    )
+    node, key, cell, comp = rows["node"].to_numpy(), rows["key"].to_numpy(), _groups(rows), rows["comp"].to_numpy()
+    gone = {(n, m) for n, many in zip(node.tolist(), rows["refused"].to_pylist()) for m in many or ()}
+    trees = RTrees(cell, rows["_page"].to_numpy(), rows["n"].to_numpy(), comp, _points(rows["point"].combine_chunks()))
+    forests = Forests(cell, comp, share)
     for q, r, bound in trees.pairs(rows["i"].to_numpy() != rows["k"].to_numpy()):
-        if len(q):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(node[q], node[r])), pa.array(np.maximum(node[q], node[r])), pa.array(bound)], ["a", "b", "bound"]
-            )
+        if not len(q):
+            continue
+        a, b = np.minimum(node[q], node[r]), np.maximum(node[q], node[r])
+        chosen = forests.take(q, r, bound, lambda k, a=a, b=b: (int(a[k]), int(b[k])) in gone if gone else False)
+        if chosen:
+            trees.join(forests.joined())
+            yield pa.RecordBatch.from_arrays([pa.array(key[q[chosen]]), pa.array(a[chosen]), pa.array(b[chosen])], ["key", "a", "b"])
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
@@ -345,22 +401,21 @@ def node_components(documents: DataFrame, signed: DataFrame, size: int = SHINGLE
         named = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
         return df.join(named, F.col(node) == F.col("_node"), "left").withColumn(name, F.coalesce("_label", node)).drop("_node", "_label")
 
-    labelled = label_of(members.select("key", "node"), "node", "comp")
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a < _b").select("key")
-    left = kept(_bucket_pairs(labelled.join(mixed, "key", "left_semi"), sets), "pairs")
-    share, turn = 8, 0
+    todo, refused, share, turn = members.select("key").distinct(), None, 1, 0
     while True:
-        across = label_of(label_of(left, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b", "bound", "ca", "cb")
-        across = kept(across, f"across-{turn}")
-        if across.isEmpty():
-            return labels
-        sides = across.select(F.explode(F.array("ca", "cb")).alias("comp"), "a", "b", "bound")
-        best = Window.partitionBy("comp").orderBy(F.desc("bound"), "a", "b")
-        chosen = kept(sides.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= share).select("a", "b").distinct(), f"chosen-{turn}")
         turn += 1
-        links = links.union(kept(_verified(chosen, sets), f"links-{turn}"))
+        labelled = label_of(members.select("key", "node").join(todo, "key", "left_semi"), "node", "comp")
+        mixed = labelled.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a < _b").select("key")
+        pairs = kept(_bucket_pairs(labelled.join(mixed, "key", "left_semi"), sets, share, refused), f"pairs-{turn}")
+        if pairs.isEmpty():
+            return labels
+        good = kept(_verified(pairs.select("a", "b").distinct(), sets), f"links-{turn}")
+        links = links.union(good)
         labels = components(links)
-        left = across.select("a", "b", "bound").join(chosen, ["a", "b"], "left_anti")
+        bad = kept(pairs.join(good, ["a", "b"], "left_anti"), f"refused-{turn}")
+        todo = bad.select("key").distinct()
+        some = bad.select("a", "b").distinct()
+        refused = some if refused is None else refused.union(some)
         share *= 8
 
 

@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from brute import components as brute_components
 from brute import shingles
+from pyspark.sql import functions as F
+
 from pagewright.llm import jaccard_join
 from pagewright.llm.components import components
 from pagewright.llm.jaccard_join import RTrees, bucket_keys, jaccard_components, keep_one_each, needed
@@ -132,6 +134,52 @@ def test_r_trees_keep_all_pairs_over_the_bound():
     assert got == want and want
 
 
+def near_copies(n, words=80, seed=5):
+    """Texts that differ from one text in a word each: all link, through many buckets."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for i in range(n):
+        mine = list(base)
+        mine[rng.randrange(words)] = f"x{i}"
+        out.append((i, " ".join(mine)))
+    return out
+
+
+@pytest.mark.parametrize("n", [60, 240])
+def test_a_bucket_of_near_copies_gives_a_forest(spark, documents, n):
+    """The pairs that leave the trees grow with the nodes, not with their square."""
+    table = documents(near_copies(n))
+    signed = jaccard_join.signatures(table).cache()
+    members = signed.select("node", F.explode("keys").alias("key")).withColumn("comp", F.col("node"))
+    sets = jaccard_join._sets(table, signed, signed.select("node"), 3)
+    found = jaccard_join._bucket_pairs(members, sets).groupBy("key").count().agg(F.max("count"), F.sum("count")).first()
+    sizes = members.groupBy("key").count().agg(F.max("count"), F.sum("count")).first()
+    assert 0 < found[0] < sizes[0] and found[1] < sizes[1]
+    signed.unpersist()
+    assert {r.component_id for r in jaccard_components(table).collect()} == {0}
+
+
+def test_forests_against_connected_pairs():
+    """Joined in all forests means that at least as many pairs lead there; pairs that are refused count for nothing."""
+    rng = np.random.default_rng(0)
+    bucket, comp = np.repeat([0, 1], 30), np.arange(60) % 25
+    a, b = rng.integers(0, 30, 400), rng.integers(0, 30, 400)
+    keep = a != b
+    a, b = a[keep], b[keep]
+    for share in (1, 3, 100):
+        forests = jaccard_join.Forests(bucket, comp, share)
+        chosen = forests.take(a, b, np.ones(len(a)), lambda k: k % 5 == 0)
+        assert all(k % 5 for k in chosen) and len(chosen) <= share * 29
+        again = jaccard_join.Forests(bucket, comp, 1)
+        again.take(a[chosen], b[chosen], np.ones(len(chosen)), lambda k: False)
+        whole = jaccard_join.Forests(bucket, comp, 1)
+        rest = np.flatnonzero(np.arange(len(a)) % 5)
+        whole.take(a[rest], b[rest], np.ones(len(rest)), lambda k: False)
+        assert np.array_equal(again.joined(), whole.joined())
+    assert not set(whole.joined()[:30]) & set(whole.joined()[30:])
+
+
 def test_shingle_sets_tell_texts_apart():
     texts = ["a b c", "a bc", "ab c", "abc", "a b", "b a", "a b c d", "A  B\tC", "é b c", "É b c"]
     for x in texts:
