@@ -10,8 +10,9 @@ conversation, so two anti-joins on distinct hashes remove snapshots and copies.
 sides are combined to distinct values, so a first turn that many conversations share is one row.
 
 A long conversation is numbered and hashed in blocks of its turns, blocks after each other, and rendered
-in parts of ``PART_TURNS`` turns, so no group grows with the length of a conversation or with the number of
-conversations that look alike. Texts are hashed where they are read; only kept conversations move theirs.
+in parts of ``PART_TURNS`` turns, so no group grows with the number of conversations that look alike, nor with the length of
+a conversation whose turns are numbered; turns with one number, or none, are one block. Texts are hashed where they are
+read and move once, to meet the turns that are kept.
 
 Turns are ordered by ``turn`` (null first), then role, then a hash of the text. Rows equal in conversation,
 turn, role and text count once. Null role or text counts as empty. Rows without a conversation id are not
