@@ -26,14 +26,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pagewright.llm.arrow import byte_texts, portions
+from pagewright.llm.arrow import byte_texts, text_portions
 from pagewright.llm.fm_index import FMIndex
 from pagewright.llm.ids import release
 from pagewright.session import cut_lineage
 
 WINDOW = 13
 #: Words a shard holds before it is indexed; a longer document is cut into overlapping segments.
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 400_000
+#: Bytes of texts that are cut into words at a time.
+PORTION_BYTES = 4 << 20
 #: Characters of benchmark text in one block.
 BLOCK_CHARS = 16_000_000
 
@@ -171,7 +173,7 @@ def _searched(documents, carried, benchmark, window, shard_words, block_chars, t
     def search(batches):
         release()
         rows, lists, filled = [], [], 0
-        for b in portions(batches, 1000):
+        for b in text_portions(batches, n, PORTION_BYTES):
             done = 0
             for k, t in enumerate(byte_texts(b.column(n))):
                 lists.append(words_of(t))

@@ -21,13 +21,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes, about, that a worker keeps in each generation of its cache.
-CACHE_BYTES = 40 << 20
+CACHE_BYTES = 16 << 20
 #: What an entry takes besides its characters and ids.
 ENTRY_BYTES = 200
 #: Texts are encoded in groups of about so many bytes, so that the arrays of a group stay small.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 #: Words whose ids are gathered at a time.
-GATHER_WORDS = 1 << 19
+GATHER_WORDS = 1 << 17
 
 # Chunks of these characters need no normalising beyond str.lower(), and split alike in both libraries.
 _PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*\Z")
