@@ -81,18 +81,23 @@ def chunk_split(spark, d):
 )
 def chunk_split_invariants(spark, d):
     """Per document: no chunk too long, indexes dense, offsets in order, no visible character lost."""
-    docs = markdown_docs(spark, d).select("doc_id", "markdown", T.clean("markdown").alias("cleaned"))
-    chunks = C.chunk_documents(docs, "markdown", 300, 0)
-    visible = F.regexp_replace("content", D.WS, "")
+    docs = markdown_docs(spark, d).select("doc_id", "markdown")
+    return split_invariants(docs, 300).select("doc_id", "fits", "dense", "in_order", "complete")
+
+
+def split_invariants(docs, size):
+    """What holds of the chunks of docs (doc_id, markdown). Chunks carry how much their document holds, not its text."""
+    visible = lambda c: F.length(F.regexp_replace(c, D.WS, ""))
+    docs = docs.withColumn("visible", visible(T.clean("markdown")))
+    chunks = C.chunk_documents(docs, "markdown", size, 0)
     per_doc = chunks.groupBy("doc_id").agg(
-        F.bool_and(F.length("content") <= 300).alias("fits"),
+        F.bool_and(F.length("content") <= size).alias("fits"),
         ((F.count("*") == F.max("total_chunks")) & (F.max("chunk_index") == F.count("*") - 1)).alias("dense"),
         F.bool_and(F.col("end_offset") - F.col("start_offset") >= F.length("content")).alias("in_order"),
-        F.sum(F.length(visible)).alias("n"),
-        F.first("cleaned").alias("cleaned"),
+        F.sum(visible("content")).alias("n"),
+        F.first("visible").alias("visible"),
     )
-    complete = F.col("n") == F.length(F.regexp_replace("cleaned", D.WS, ""))
-    return per_doc.select("doc_id", "fits", "dense", "in_order", complete.alias("complete"))
+    return per_doc.withColumn("complete", F.col("n") == F.col("visible"))
 
 
 @query(
