@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pagewright.functions.tokens import count_tokens_of
+from pagewright.operators import keyed
 from pagewright.operators import pieces as P
 from pagewright.session import work_dir
 
@@ -84,3 +85,25 @@ def test_store_after_a_run_that_was_stopped(spark, rows):
 def test_run_names(spark, rows):
     with pytest.raises(ValueError):
         P.TokenStore(spark, "/tmp/x").count(rows, "../a", ["id"])
+
+
+@pytest.mark.parametrize("hot", [0, 2, 1000])
+def test_rare_and_frequent_pieces(spark, rows, monkeypatch, hot):
+    monkeypatch.setattr(P, "HOT_PIECES", hot)
+    twice = rows.union(rows.limit(100))
+    got = P.count_by_pieces(twice, ["id"]).collect()
+    assert len(got) == twice.count() and all(r.tokens == count_tokens_of(r.content or "") for r in got)
+
+
+def test_places_of_pieces_do_not_move(spark, monkeypatch):
+    moved = []
+
+    def attach(df, *args):
+        moved.append(df.count())
+        return keyed.attach_by_key(df, *args)
+
+    monkeypatch.setattr(P, "attach_by_key", attach)
+    texts = spark.range(20).selectExpr("id", "concat(repeat('the same words ', 500), id) AS content")
+    assert P.count_by_pieces(texts, ["id"]).where("tokens < 1500").count() == 0
+    P.TokenStore(spark, work_dir(spark, "store")).count(texts, "a", ["id"]).count()
+    assert moved and max(moved) <= 20
