@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,18 +32,39 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value made once: Spark shares no parts of a lambda, and few of a condition's branches."""
+    return F.transform(F.array(value), use)[0]
+
+
 def count_matches(c: Column | str, pattern: str) -> Column:
     return F.regexp_count(col(c), F.lit(pattern)).cast("long")
 
 
+#: What a text must contain for the pattern to match; looking for it is far cheaper than the pattern.
+NEEDED = {
+    r"\r\n": "\r\n", r"\r": "\r", r"\n{4,}": "\n\n\n\n", r"\n{3,}": "\n\n\n",
+    rf"([^\n])\n(#{{1,6}}{WS})": "\n#", r"(#{1,6}[^\n]*)\n([^\n#])": "#",
+    r"([^\n])\n```": "\n```", r"```\n([^\n])": "```\n",
+    r"(?s)```.*?```": "```", r"`[^`]+`": "`", r"\[([^\]]+)\]\([^)]+\)": "](", r"!\[[^\]]*\]\([^)]+\)": "](",
+    rf"(?m)^#{{1,6}}{WS}+": "#", rf"(?m)^>{WS}*": ">", " {2,}": "  ",
+}
+
+
 def replace_all(c: Column | str, steps: Iterable[tuple[str, str]]) -> Column:
     """Apply (pattern, replacement) steps in order; replacements use ``$1``."""
     out = col(c)
     for pattern, replacement in steps:
-        out = F.regexp_replace(out, pattern, replacement)
+        out = _replaced(out, pattern, replacement)
     return out
 
 
+def _replaced(text: Column, pattern: str, replacement: str) -> Column:
+    if (needed := NEEDED.get(pattern)) is None:
+        return F.regexp_replace(text, pattern, replacement)
+    return let(text, lambda t: F.when(t.contains(needed), F.regexp_replace(t, pattern, replacement)).otherwise(t))
+
+
 def trim_ws(c: Column | str) -> Column:
     return F.regexp_replace(col(c), EDGE_WS, "")
 

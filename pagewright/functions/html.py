@@ -8,7 +8,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import NON_WS, WS, col, count_matches, replace_all, trim_ws, warnings_of
+from .core import NON_WS, WS, col, count_matches, let, replace_all, trim_ws, warnings_of
 from .urls import host
 
 MAX_HTML = 50 * 1024 * 1024
@@ -72,12 +72,15 @@ def decode_entities(text: Column | str) -> Column:
         rest = F.substring(x["p"], F.length(name) + 2, F.length(x["p"]))
         return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), x["p"]))
 
-    pieces = F.split(c, "&")
-    after_first = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(1)))
-    decoded = F.transform(F.transform(after_first, named), valued)
-    return F.when(
-        c.contains("&"), F.concat(F.element_at(pieces, 1), F.array_join(decoded, ""))
-    ).otherwise(c)
+    def resolved(t: Column) -> Column:
+        def joined(pieces: Column) -> Column:
+            after_first = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(1)))
+            decoded = F.transform(F.transform(after_first, named), valued)
+            return F.concat(F.element_at(pieces, 1), F.array_join(decoded, ""))
+
+        return F.when(t.contains("&"), let(F.split(t, "&"), joined)).otherwise(t)
+
+    return let(c, resolved)
 
 
 def strip_to_text(html: Column | str) -> Column:

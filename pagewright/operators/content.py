@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import html as H
-from ..functions.core import NON_WS, WS, is_blank
+from ..functions.core import NON_WS, WS, is_blank, let
 from ..params import PageJobParams
 from ..session import cut_lineage_in_layout
 from .html_tokens import NOISE_TAGS, pair_tags, tokenize
@@ -264,9 +264,12 @@ def extract_content(
 
     def scored(c: Column) -> Column:
         content = _slice(html, c["region"])
-        text = H.strip_to_text(content)
+
+        def rated(text: Column) -> Column:
+            return F.when(F.length(text) >= p.char_threshold, H.content_score(text, content))
+
         return F.struct(
-            F.when(F.length(text) >= p.char_threshold, H.content_score(text, content)).alias("score"),
+            let(H.strip_to_text(content), rated).alias("score"),
             (-c["selector"]).alias("s"), (-c["pos"]).alias("o"),
             c["region"].alias("region"),
         )
@@ -361,7 +364,7 @@ def gate_content(content: DataFrame, params: PageJobParams | None = None) -> Dat
 
 
 #: Stored bytes of pages per partition, and the most partitions one shuffle should have.
-PARTITION_BYTES = 64 * 1024 * 1024
+PARTITION_BYTES = 16 * 1024 * 1024
 MAX_PARTITIONS = 200_000
 #: Spark estimates this and more for plans whose size it does not know.
 UNKNOWN_SIZE = 2**60
@@ -381,7 +384,9 @@ def by_page(pages: DataFrame) -> DataFrame:
     # there are no more tasks than cores unless the input is large.
     known = size < UNKNOWN_SIZE
     wanted = size // PARTITION_BYTES if known else int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = min(max(spark.sparkContext.defaultParallelism, wanted), MAX_PARTITIONS)
+    # Full rounds of tasks: a few tasks over would leave most cores waiting for them.
+    cores = spark.sparkContext.defaultParallelism
+    n = min(max(cores, -(-wanted // cores) * cores), MAX_PARTITIONS)
     return pages.repartition(n, "page_id")
 
 

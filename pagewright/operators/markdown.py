@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from ..functions import html as H
 from ..functions import markdown as M
 from ..functions import urls as U
-from ..functions.core import is_blank, replace_all
+from ..functions.core import is_blank, let, replace_all
 from ..session import cut_lineage_in_layout
 from .content import BLOCK_TAGS
 from .html_tokens import NOISE_TAGS, TOKEN, pair_tags, tokenize
@@ -53,15 +53,10 @@ JOIN_STEPS = (
 )
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value made once: Spark does not share parts of a lambda."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _text(raw: Column, in_pre: Column, in_code: Column) -> Column:
     plain = H.decode_entities(F.regexp_replace(raw, CONTROLS, ""))
     squeezed = F.regexp_replace(plain, r"[ \t\r\n]+", " ")
-    escaped = _let(squeezed, lambda s: F.when(s.rlike(SPECIAL), replace_all(s, ESCAPES)).otherwise(s))
+    escaped = let(squeezed, lambda s: F.when(s.rlike(SPECIAL), replace_all(s, ESCAPES)).otherwise(s))
     return (
         F.when(in_pre, F.translate(plain, "\n \t\r", NEWLINE + SPACE + TAB))
         .when(in_code, squeezed)
@@ -246,9 +241,9 @@ def _finish(md: Column) -> Column:
         code = F.substring_index(part, CODE_END, 1)
         return F.when(i == 0, part).otherwise(F.concat(M.code_language(F.lit(""), code), part))
 
-    md = F.when(
-        md.contains(LANG), F.array_join(F.transform(F.split(md, LANG), with_language), "")
-    ).otherwise(md)
+    md = let(md, lambda m: F.when(
+        m.contains(LANG), F.array_join(F.transform(F.split(m, LANG), with_language), "")
+    ).otherwise(m))
     return replace_all(
         md,
         (
@@ -277,7 +272,8 @@ def render_markdown(content: DataFrame, html: str = "content_html", preserve_cod
     joined = cut_lineage_in_layout(drawn.select("page_id", *keep, "_prepared", joined.alias("md")))
     pieces = line_prefixes(joined.select("page_id", "md")).hint("shuffle_hash")
     lined = joined.join(pieces, "page_id", "left").withColumn("_lines", F.split("md", "\n"))
-    raw = lined.withColumn("_raw", _finish(_with_prefixes(F.col("md"), F.col("_lines"), F.col("pieces"))))
+    laid = lined.withColumn("_laid", _with_prefixes(F.col("md"), F.col("_lines"), F.col("pieces")))
+    raw = laid.withColumn("_raw", _finish(F.col("_laid")))
     done = raw.withColumn("markdown", M.postprocess("_raw")).withColumn(
         "text_content", M.to_plain_text("markdown")
     )
