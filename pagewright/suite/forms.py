@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import markdown as MD
-from ..session import spread
+from ..operators.content import by_page
 from ..sources.tables import read_table
 from .registry import query
 
@@ -19,9 +19,10 @@ _LINES = """(SELECT doc_id, list_filter(list_transform(string_split(coalesce(tex
 
 
 def _lines(spark, d):
-    docs = spread(read_table(spark, d, "documents").select("doc_id", "text"))
+    # Laid out by their key while they are short; all that is made of them stays there.
+    docs = by_page(read_table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text"))
     letters = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, "[^a-zA-Z]+", " ")))
-    return docs.select("doc_id", F.filter(letters, lambda x: x != "").alias("ls"))
+    return docs.select("page_id", F.filter(letters, lambda x: x != "").alias("ls"))
 
 
 def _all(each, between=""):
@@ -29,7 +30,7 @@ def _all(each, between=""):
 
 
 def _rendered(spark, d, html):
-    rows = _lines(spark, d).select(F.col("doc_id").alias("page_id"), html.alias("content_html"))
+    rows = _lines(spark, d).select("page_id", html.alias("content_html"))
     return MD.render_markdown(rows).select(F.col("page_id").alias("doc_id"), F.md5("markdown").alias("digest"))
 
 
