@@ -38,16 +38,36 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def count_matches(c: Column | str, pattern: str) -> Column:
-    return F.regexp_count(col(c), F.lit(pattern)).cast("long")
+    found = F.regexp_count(col(c), F.lit(FASTER.get(pattern, pattern))).cast("long")
+    if (needed := NEEDED.get(pattern)) is None:
+        return found
+    return F.when(~_has(col(c), needed), F.lit(0).cast("long")).otherwise(found)
 
 
-#: What a text must contain for the pattern to match; looking for it is far cheaper than the pattern.
-NEEDED = {
+#: What a text must contain, or any of what it must contain, for the pattern to match; looking for it is far cheaper.
+NEEDED: dict[str, str | tuple[str, ...]] = {
     r"\r\n": "\r\n", r"\r": "\r", r"\n{4,}": "\n\n\n\n", r"\n{3,}": "\n\n\n",
     rf"([^\n])\n(#{{1,6}}{WS})": "\n#", r"(#{1,6}[^\n]*)\n([^\n#])": "#",
     r"([^\n])\n```": "\n```", r"```\n([^\n])": "```\n",
     r"(?s)```.*?```": "```", r"`[^`]+`": "`", r"\[([^\]]+)\]\([^)]+\)": "](", r"!\[[^\]]*\]\([^)]+\)": "](",
     rf"(?m)^#{{1,6}}{WS}+": "#", rf"(?m)^>{WS}*": ">", " {2,}": "  ",
+    r"[*_]{1,2}([^*_]+)[*_]{1,2}": ("*", "_"),
+    rf"(?m)^({WS}*[-*+]){WS}+$": ("-", "*", "+"), rf"(?m)^{WS}*[-*+]{WS}+": ("-", "*", "+"),
+    **{rf"(?m)^{'#' * n} ": "# " for n in range(1, 7)}, r"(?m)^#{1,6} ": "# ", rf"(?m)^#{{1,6}}{WS}": "#",
+    rf"(?m)^{WS}*[-*+] ": ("- ", "* ", "+ "), rf"(?m)^{WS}*[-*+]{WS}": ("-", "*", "+"), rf"(?m)^{WS}*[0-9]+\. ": ". ",
+    "```": "```", r"\[[^\]]*\]\([^)]*\)": "](", r"!\[[^\]]*\]\([^)]*\)": "](", rf"\|{NOT_EOL}*\|": "|", r"(?m)^>": ">",
+}
+
+#: Patterns that find the same without trying parts of a word or of a line in vain.
+FASTER = {r"(#{1,6}[^\n]*)\n([^\n#])": r"(#[^\n]*+)\n([^\n#])", r"[a-zA-Z0-9_]+": r"\w++"}
+
+_WS_BUT_SPACE = WS.replace(r"\x20", r"\x1F")
+#: Steps that mostly put what is there already: a pattern of what they change, and what a text must contain for that.
+CHANGES = {
+    (rf"{WS}+", " "): (rf" {WS}+|{_WS_BUT_SPACE}{WS}*", ()),
+    (r"[ \t]+", " "): (r" [ \t]+|\t[ \t]*", ("  ", "\t")),
+    (r"[ \t\r\n]+", " "): (r" [ \t\r\n]+|[\t\r\n][ \t\r\n]*", ()),
+    (r" *\n *", "\n"): (r" +\n *|\n +", (" \n", "\n ")),
 }
 
 
@@ -59,10 +79,56 @@ def replace_all(c: Column | str, steps: Iterable[tuple[str, str]]) -> Column:
     return out
 
 
+def _has(text: Column, needed: str | tuple[str, ...]) -> Column:
+    first, *others = (needed,) if isinstance(needed, str) else needed
+    found = text.contains(first)
+    for other in others:
+        found = found | text.contains(other)
+    return found
+
+
 def _replaced(text: Column, pattern: str, replacement: str) -> Column:
-    if (needed := NEEDED.get(pattern)) is None:
+    if (pattern, replacement) in EDGES:
+        return let(text, EDGES[pattern, replacement])
+    pattern, needed = CHANGES.get((pattern, replacement), (FASTER.get(pattern, pattern), NEEDED.get(pattern, ())))
+    if not needed:
         return F.regexp_replace(text, pattern, replacement)
-    return let(text, lambda t: F.when(t.contains(needed), F.regexp_replace(t, pattern, replacement)).otherwise(t))
+    return let(text, lambda t: F.when(_has(t, needed), F.regexp_replace(t, pattern, replacement)).otherwise(t))
+
+
+def squeezed(text: Column | str) -> Column:
+    """Runs of white space as one space each."""
+    return _replaced(col(text), rf"{WS}+", " ")
+
+
+def _at_end(t: Column, n: int, pattern: str, replacement: str) -> Column:
+    """A pattern that can only match within the last ``n`` characters, tried there alone."""
+    return F.concat(F.substring(t, F.lit(1), F.length(t) - n), F.regexp_replace(F.substring(t, -n, n), pattern, replacement))
+
+
+def _without_edge_spaces(t: Column) -> Column:
+    start = F.when(t.startswith(" "), F.substring(t, F.lit(2), F.length(t))).otherwise(t)
+    # $ stands at the end or before one last line end, which is two characters at most
+    return let(start, lambda s: _at_end(s, 3, " $", ""))
+
+
+def _one_last_newline(t: Column) -> Column:
+    # one newline becomes one newline; more of them reach the last line end
+    return F.when(F.substring(t, -4, 4).contains("\n\n"), F.regexp_replace(t, r"\n+$", "\n")).otherwise(t)
+
+
+def _without_last_space(t: Column) -> Column:
+    # These line ends are not among the characters; before one of them a run goes, too.
+    other_end = F.substring(t, -1, 1).isin("\x85", "\u2028", "\u2029")
+    return F.when(other_end, F.regexp_replace(t, r"[\t\r\n ]+$", "")).otherwise(F.rtrim(t, F.lit("\t\r\n ")))
+
+
+#: Steps on the ends of a text, which need not look at what is between.
+EDGES = {
+    (r"^ | $", ""): _without_edge_spaces,
+    (r"\n+$", "\n"): _one_last_newline,
+    (r"[\t\r\n ]+$", ""): _without_last_space,
+}
 
 
 def trim_ws(c: Column | str) -> Column:

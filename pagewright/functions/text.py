@@ -113,7 +113,8 @@ def readability(text: Column | str, words: Column | None = None) -> Column:
     c = col(text)
     words = word_count(c) if words is None else words
     sentences = F.size(F.filter(F.split(c, SENTENCE_END), lambda s: s.rlike(NON_WS)))
-    characters = F.length(F.regexp_replace(c, WS, ""))
+    # Most white space is spaces, which need no pattern.
+    characters = F.length(F.regexp_replace(F.replace(c, F.lit(" "), F.lit("")), WS, ""))
     return F.struct(
         round_half_up(ratio(words, sentences), 1).alias("words_per_sentence"),
         round_half_up(ratio(characters, words), 1).alias("characters_per_word"),

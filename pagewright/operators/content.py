@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import html as H
-from ..functions.core import NON_WS, WS, is_blank, let
+from ..functions.core import NON_WS, WS, is_blank, let, squeezed
 from ..params import PageJobParams
 from ..session import cut_lineage_in_layout
-from .html_tokens import NOISE_TAGS, pair_tags, tokenize
+from .html_tokens import NOISE_TAGS, pair_tags, tokenize_tags
 
 # Selectors of the fallback, in order of preference.
 FALLBACK_SELECTORS = (
@@ -58,12 +58,13 @@ def _selector_rank(tag: Column, classes: Column, ident: Column) -> Column:
 
 
 def _features(tokens: DataFrame) -> DataFrame:
-    """Narrow token rows: no raw text goes through the window sorts."""
+    """Narrow rows of tags with the text after them: no raw text goes through the window sorts."""
     raw, tag, opens = F.col("raw"), F.col("tag"), F.col("kind") == "open"
     with_names = opens & raw.contains("=")
     tokens = tokens.withColumns(
         {
-            "_text": F.when(F.col("kind") == "text", F.regexp_replace(raw, f"{WS}+", " ")).otherwise(""),
+            "_size": F.length(F.when(F.col("kind") == "text", raw).otherwise(F.col("text"))),
+            "_text": squeezed(F.when(F.col("kind") == "text", raw).otherwise(F.col("text"))),
             "_class": F.when(with_names, H.raw_attribute(raw, "class")),
             "_id": F.when(with_names, H.raw_attribute(raw, "id")),
         }
@@ -76,7 +77,8 @@ def _features(tokens: DataFrame) -> DataFrame:
     ).otherwise(0)
     return tokens.select(
         "page_id", "pos", "tag", "kind",
-        F.length(raw).alias("size"),
+        F.when(F.col("kind") == "text", 0).otherwise(F.length(raw)).alias("size"),
+        F.col("_size").alias("text_size"),
         F.length(F.when(text.rlike(NON_WS), text).otherwise("")).alias("chars"),
         F.regexp_count(text, F.lit("[,，、]")).alias("commas"),
         F.when(
@@ -100,19 +102,19 @@ def content_regions(pages: DataFrame) -> DataFrame:
     """
     w = W.partitionBy("page_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy("page_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    tokens = _features(tokenize(pages))
+    tokens = _features(tokenize_tags(pages))
     link = F.when(F.col("tag") == "a", F.col("kind"))
     is_open, is_close = F.col("kind") == "open", F.col("kind") == "close"
 
-    # Running offsets and text sizes, and text inside links.
+    # Running offsets and text sizes, and text inside links: up to the tag, so without the text after it.
     flat = tokens.select(
-        "*",
-        F.sum("size").over(w).alias("end"),
-        F.sum("chars").over(w).alias("cum"),
+        "page_id", "pos", "tag", "kind", "size", "chars", "commas", "selector", "name_weight",
+        (F.sum(F.col("size") + F.col("text_size")).over(w) - F.col("text_size")).alias("end"),
+        (F.sum("chars").over(w) - F.col("chars")).alias("cum"),
         F.coalesce(F.last(link, ignorenulls=True).over(w) == "open", F.lit(False)).alias("in_link"),
     )
     link_chars = F.when(F.col("in_link"), F.col("chars")).otherwise(0)
-    flat = flat.withColumn("cum_link", F.sum(link_chars).over(w))
+    flat = flat.withColumn("cum_link", F.sum(link_chars).over(w) - link_chars).drop("in_link")
     paired = pair_tags(flat, ["end", "size", "cum", "cum_link"])
 
     # An unclosed body reaches to the page end; other unclosed boxes are not boxes.
@@ -136,8 +138,10 @@ def content_regions(pages: DataFrame) -> DataFrame:
     summed = nested.select(
         "*",
         (F.col("level") - box_step).alias("block_level"),
-        F.sum(F.when(heard, F.col("chars")).otherwise(0)).over(w).alias("heard"),
-        F.sum(F.when(heard, F.col("commas")).otherwise(0)).over(w).alias("heard_commas"),
+        *[
+            (F.sum(F.when(heard, F.col(c)).otherwise(0)).over(w) - F.when(heard, F.col(c)).otherwise(0)).alias(name)
+            for c, name in (("chars", "heard"), ("commas", "heard_commas"))
+        ],
     )
 
     def since(c: str) -> Column:

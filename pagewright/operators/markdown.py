@@ -15,10 +15,10 @@ from pyspark.sql import Window as W
 from ..functions import html as H
 from ..functions import markdown as M
 from ..functions import urls as U
-from ..functions.core import is_blank, let, replace_all
+from ..functions.core import NEEDED, is_blank, let, replace_all
 from ..session import cut_lineage_in_layout
 from .content import BLOCK_TAGS
-from .html_tokens import NOISE_TAGS, TOKEN, pair_tags, tokenize
+from .html_tokens import NOISE_TAGS, TOKEN, pair_tags, tags_with_text, tokenize_tags
 
 # Control characters stand for structure until the last step; they are not legal in
 # HTML text and are removed from it first.
@@ -51,11 +51,23 @@ JOIN_STEPS = (
     (rf"(?<![\n{MARKS}])\n{{3,}}(?![\n{MARKS}])", "\n\n"),
     (rf"(?<=[{MARKS}])\n{{4,}}|\n{{4,}}(?=[{MARKS}])", "\n\n\n"),
 )
+#: The control characters back to text, and the edges.
+LAST_STEPS = (
+    (CODE_END, ""), (BREAK, "  "), (f"[{STRONG}{STRONG_END}]", "**"), (f"[{EM}{EM_END}]", "*"),
+    (f"[{MARKS}]", ""), (r"^[\t\r\n]+", ""), (r"[\t\r\n ]+$", ""),
+)
+# What texts must contain for these, as for the other patterns.
+NEEDED.update({
+    JOIN_STEPS[1][0]: (f"{STRONG} ", f"{EM} "), JOIN_STEPS[2][0]: (f" {STRONG_END}", f" {EM_END}"),
+    JOIN_STEPS[3][0]: (STRONG + STRONG_END, EM + EM_END), JOIN_STEPS[6][0]: "\n\n\n", JOIN_STEPS[7][0]: "\n\n\n\n",
+    CODE_END: CODE_END, BREAK: BREAK, f"[{STRONG}{STRONG_END}]": (STRONG, STRONG_END), f"[{EM}{EM_END}]": (EM, EM_END),
+    f"[{MARKS}]": (UL, OL, LIST_END, ITEM, QUOTE, QUOTE_END),
+})
 
 
 def _text(raw: Column, in_pre: Column, in_code: Column) -> Column:
     plain = H.decode_entities(F.regexp_replace(raw, CONTROLS, ""))
-    squeezed = F.regexp_replace(plain, r"[ \t\r\n]+", " ")
+    squeezed = replace_all(plain, ((r"[ \t\r\n]+", " "),))
     escaped = let(squeezed, lambda s: F.when(s.rlike(SPECIAL), replace_all(s, ESCAPES)).otherwise(s))
     return (
         F.when(in_pre, F.translate(plain, "\n \t\r", NEWLINE + SPACE + TAB))
@@ -80,7 +92,7 @@ def _image(raw: Column) -> Column:
 
 
 def _fragment(raw: Column, f: Column, tokens: Column) -> Column:
-    """What one token contributes, from its text and the flags around it (see :func:`token_flags`)."""
+    """What one token without the text after it contributes, from the flags around it (see :func:`token_flags`)."""
     tag, matched = f["tag"], f["mate"].isNotNull()
     opens, closes, pre = f["kind"] == "open", f["kind"] == "close", f["pre"]
 
@@ -126,17 +138,19 @@ def _joined(value: Column, *order: str) -> Column:
 
 
 def token_flags(pages: DataFrame, html: str) -> DataFrame:
-    """(page_id, flags): what stands around each token of a page, in the order of the tokens.
+    """(page_id, flags): what stands around each tag of a page and the text after it, in the order of ``tags_with_text``.
 
-    Flags are tag, kind, mate (place of the other tag of a pair), visible (outside removed elements), pre and code
-    (inside such), code_next, linked (of a link with an address) and border (cells of the heading row that
+    Flags are tag, kind, mate (place of the other tag of a pair), visible and heard (tag and text outside removed
+    elements), pre and code (inside such), code_next, linked (of a link with an address) and border (cells of the heading row that
     ends here). No text goes through the windows.
     """
     tag, raw, opens = F.col("tag"), F.col("raw"), F.col("kind") == "open"
     w = W.partitionBy("page_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     cell = opens & tag.isin("td", "th")
     linked = opens & (tag == "a") & (F.coalesce(H.raw_attribute(raw, "href"), F.lit("")) != "")
-    narrow = tokenize(pages, html).select("page_id", "pos", "tag", "kind", linked.alias("linked")).select(
+    narrow = tokenize_tags(pages, html).select(
+        "page_id", "pos", "tag", "kind", linked.alias("linked"), (F.col("text") == "").alias("bare")
+    ).select(
         "*",
         F.sum(cell.cast("int")).over(w).alias("cells"),
         F.sum((opens & (tag == "td")).cast("int")).over(w).alias("tds"),
@@ -156,7 +170,9 @@ def token_flags(pages: DataFrame, html: str) -> DataFrame:
         (depth("code") > 0).alias("code"),
         (depth("thead") > 0).alias("in_head"),
         F.last(F.when(opens & (tag == "table"), F.col("rows")), ignorenulls=True).over(w).alias("rows_before"),
-        F.coalesce(F.lead("tag").over(W.partitionBy("page_id").orderBy("pos")) == "code", F.lit(False)).alias("code_next"),
+        F.coalesce(
+            F.col("bare") & (F.lead("tag").over(W.partitionBy("page_id").orderBy("pos")) == "code"), F.lit(False)
+        ).alias("code_next"),
     )
     removed_close = tag.isin(*NOISE_TAGS) & (F.col("kind") == "close")
     visible = (F.col("noise") == 0) & ~removed_close & ~F.col("kind").isin("raw", "comment")
@@ -166,7 +182,8 @@ def token_flags(pages: DataFrame, html: str) -> DataFrame:
     border = F.when(ends_heading, F.col("cells") - F.col("mate_cells")).otherwise(0).cast("int")
     is_link = F.col("linked") | F.coalesce("mate_linked", F.lit(False))
     flags = F.struct(
-        "pos", "tag", "kind", F.col("mate").cast("int").alias("mate"), visible.alias("visible"), "pre", "code", "code_next",
+        "pos", "tag", "kind", F.col("mate").cast("int").alias("mate"), visible.alias("visible"),
+        (F.col("noise") == 0).alias("heard"), "pre", "code", "code_next",
         is_link.alias("linked"), border.alias("border"),
     )
     return flagged.groupBy("page_id").agg(F.array_sort(F.collect_list(flags)).alias("flags"))
@@ -235,7 +252,11 @@ def _with_prefixes(md: Column, lines: Column, pieces: Column) -> Column:
 
 def _finish(md: Column) -> Column:
     """Code languages, then the control characters back to text."""
-    md = F.translate(F.regexp_replace(md, r"\n{3,}", "\n\n"), NEWLINE + SPACE + TAB, "\n \t")
+    def plain(m: Column) -> Column:
+        drawn = m.contains(NEWLINE) | m.contains(SPACE) | m.contains(TAB)
+        return F.when(drawn, F.translate(m, NEWLINE + SPACE + TAB, "\n \t")).otherwise(m)
+
+    md = let(replace_all(md, ((r"\n{3,}", "\n\n"),)), plain)
 
     def with_language(part: Column, i: Column) -> Column:
         code = F.substring_index(part, CODE_END, 1)
@@ -244,13 +265,7 @@ def _finish(md: Column) -> Column:
     md = let(md, lambda m: F.when(
         m.contains(LANG), F.array_join(F.transform(F.split(m, LANG), with_language), "")
     ).otherwise(m))
-    return replace_all(
-        md,
-        (
-            (CODE_END, ""), (BREAK, "  "), (f"[{STRONG}{STRONG_END}]", "**"), (f"[{EM}{EM_END}]", "*"),
-            (f"[{MARKS}]", ""), (r"^[\t\r\n]+", ""), (r"[\t\r\n ]+$", ""),
-        ),
-    )
+    return replace_all(md, LAST_STEPS)
 
 
 def render_markdown(content: DataFrame, html: str = "content_html", preserve_code: bool = False) -> DataFrame:
@@ -265,9 +280,12 @@ def render_markdown(content: DataFrame, html: str = "content_html", preserve_cod
     flags = token_flags(prepared.select("page_id", "_prepared"), "_prepared").hint("shuffle_hash")
     tokens = F.regexp_extract_all("_prepared", F.lit(TOKEN), F.lit(0))
     drawn = prepared.join(flags, "page_id", "left").withColumn("_tokens", tokens)
-    written = F.zip_with(
-        "_tokens", "flags", lambda raw, f: F.when(f["visible"], _fragment(raw, f, F.col("_tokens"))).otherwise("")
-    )
+
+    def drawn_tag(e: Column, f: Column) -> Column:
+        tag = F.when(f["visible"], _fragment(e["raw"], f, F.col("_tokens"))).otherwise("")
+        return F.concat(tag, F.when(f["heard"] & (e["text"] != ""), _text(e["text"], f["pre"], f["code"])).otherwise(""))
+
+    written = F.zip_with(tags_with_text(F.col("_tokens")), "flags", drawn_tag)
     joined = replace_all(F.coalesce(F.array_join(written, ""), F.lit("")), JOIN_STEPS)
     joined = cut_lineage_in_layout(drawn.select("page_id", *keep, "_prepared", joined.alias("md")))
     pieces = line_prefixes(joined.select("page_id", "md")).hint("shuffle_hash")
