@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import base64
 import os
-from functools import lru_cache
+from collections.abc import Callable
+from functools import lru_cache, partial
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -52,6 +53,11 @@ def count_tokens_of(text: str, ranks_file: str | None = None, pre_split: str = P
     return len(_encoder(ranks_file or default_ranks(), pre_split).encode_ordinary(text)) if text else 0
 
 
+def token_counter(ranks_file: str | None = None, pre_split: str = PRE_SPLIT) -> Callable[[str], int]:
+    """:func:`count_tokens_of` with the rank file named here, where the job is planned, as a function for tasks."""
+    return partial(count_tokens_of, ranks_file=ranks_file or default_ranks(), pre_split=pre_split)
+
+
 def token_count(text: Column | str, ranks_file: str | None = None, pre_split: str = PRE_SPLIT) -> Column:
     """Tokens of a text column, 0 for NULL and ''. The rank file must exist on every worker."""
     path = ranks_file or default_ranks()

@@ -44,12 +44,14 @@ def chunk_documents(
     keep_separator: bool = False,
     length: str | Callable[[str], int] = len,
     keep_empty: bool = False,
+    count: Callable[[str], int] | None = None,
 ) -> DataFrame:
     """One row per chunk, with every column of ``docs`` but the text.
 
     Blank documents give no rows, or with ``keep_empty`` one row without a chunk. Offsets count from the cleaned text. Rows are
     split where they are: there is no shuffle, and the layout of ``docs`` by
     its key carries over to the chunks. ``length`` is a name (chars, tokens, ...) or a function.
+    With ``count`` a column ``tokens`` holds what it says of each chunk, NULL where there is none.
     """
     keep = [c for c in docs.columns if c != text]
     arrays = (
@@ -57,7 +59,7 @@ def chunk_documents(
         .select(
             *keep,
             split_column(
-                F.col("_clean"), size, overlap, separators, keep_separator, length
+                F.col("_clean"), size, overlap, separators, keep_separator, length, count
             ).alias("_chunks"),
         )
         .select(*keep, F.size("_chunks").alias("total_chunks"), "_chunks")
@@ -75,6 +77,7 @@ def chunk_documents(
         F.length("_c.content").alias("length"),
         F.col("_c.start_offset").alias("start_offset"),
         F.col("_c.end_offset").alias("end_offset"),
+        *([F.col("_c.tokens").alias("tokens")] if count is not None else []),
     )
     return with_positions(rows, overlap)
 

@@ -20,10 +20,15 @@ def with_tokens(
     model: str = K.DEFAULT_MODEL,
     prices: dict[str, float] | None = None,
     ranks_file: str | None = None,
+    counted: str | None = None,
 ) -> DataFrame:
-    """Add tokens, word_count, cost, ratios and warnings. NULL text counts 0 and says so."""
-    counted = rows.withColumn("tokens", K.token_count(text, ranks_file))
-    return with_token_columns(counted, text, model, prices)
+    """Add tokens, word_count, cost, ratios and warnings. NULL text counts 0 and says so.
+
+    ``counted`` names a column with counts that were taken where the text was cut (``count`` of
+    :func:`.chunking.chunk_documents`); without it every text is encoded here.
+    """
+    tokens = K.token_count(text, ranks_file) if counted is None else F.coalesce(counted, F.lit(0))
+    return with_token_columns(rows.withColumn("tokens", tokens), text, model, prices)
 
 
 def with_token_columns(

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tokens import token_counter
 from ..operators.chunking import chunk_documents
 from ..operators.content import extract_content, gate_content, laid_out, with_row_key, with_source_id
 from ..operators.enrich import enrich
@@ -64,12 +65,12 @@ def _keyed_chunks(
         F.when(F.col("status") == SUCCESS, F.col("markdown")).alias("markdown"),
     )
     chunks = chunk_documents(
-        content, "markdown", p.chunk_size, p.chunk_overlap, p.separators, keep_empty=keep_failed
+        content, "markdown", p.chunk_size, p.chunk_overlap, p.separators, keep_empty=keep_failed, count=token_counter()
     )
     enriched = enrich(
         chunks, when, p.chunk_size, p.chunk_overlap, max_metadata_size=p.max_metadata_size, **enrich_options
     )
-    return with_tokens(enriched, "content", p.model, p.price_overrides)
+    return with_tokens(enriched, "content", p.model, p.price_overrides, counted="tokens")
 
 
 def page_results(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tokens import token_counter
 from ..operators.chunking import chunk_documents
 from ..operators.enrich import enrich
 from ..operators.rollups import CHUNKING_FAILED, SUCCESS
@@ -28,12 +29,12 @@ def process_texts(
     """
     p = params or PageJobParams()
     when = F.current_timestamp() if crawled_at is None else crawled_at
-    chunks = chunk_documents(docs, text, p.chunk_size, p.chunk_overlap, p.separators, keep_empty=keep_failed)
+    chunks = chunk_documents(docs, text, p.chunk_size, p.chunk_overlap, p.separators, keep_empty=keep_failed, count=token_counter())
     enriched = enrich(
         chunks, when, p.chunk_size, p.chunk_overlap,
         max_metadata_size=p.max_metadata_size, **enrich_options,
     )
-    counted = with_tokens(enriched, "content", p.model, p.price_overrides)
+    counted = with_tokens(enriched, "content", p.model, p.price_overrides, counted="tokens")
     return counted.withColumns(
         {
             "status": F.when(F.col("content").isNull(), CHUNKING_FAILED).otherwise(SUCCESS),

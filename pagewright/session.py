@@ -19,8 +19,10 @@ RUNTIME_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # lower() without the ICU tables, which take seconds to load on every executor
     "spark.sql.icu.caseMappings.enabled": "false",
-    # Arrow batches of texts: few rows per batch, as one row may be a large page.
+    # Arrow batches of texts: few rows per batch, as one row may be a large page, and few bytes, so that what a Python
+    # worker holds does not depend on which texts come together.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "2m",
 }
 
 

@@ -8,10 +8,14 @@ import __spark_entry__ as E
 from pagewright.functions import html as H
 from pagewright.functions import markdown as M
 from pagewright.functions import text as T
+from pagewright.functions import tokens as K
 from pagewright.functions.core import CHANGES, EDGES, FASTER, NEEDED, WS, count_matches, replace_all
 from pagewright.operators import content as C
 from pagewright.operators import markdown as MD
 from pagewright.operators.html_tokens import tokenize_tags
+from pagewright.params import PageJobParams
+from pagewright.plans.pages import page_chunks
+from pagewright.plans.texts import process_texts
 
 
 def test_pages_come_in_full_rounds_of_tasks(spark, tmp_path, monkeypatch):
@@ -90,3 +94,14 @@ def test_tags_come_with_the_text_after_them(spark):
     got = {k: [(r.pos, r.raw, r.text) for r in rows if r.page_id == k] for k in (1, 2, 3)}
     first = [(0, "a", ""), (1, "<p>", "b"), (3, "<br>", ""), (4, "<", ""), (5, "<i>", "c"), (7, "</i>", "d "), (9, "<", ""), (10, " e", "")]
     assert got == {1: [*first, (11, "</p>", "f"), (13, "", "")], 2: [(0, "", "")], 3: [(0, "", "")]}
+
+
+def test_a_chunk_goes_to_python_once(spark):
+    docs = spark.createDataFrame([(1, "u", "t", "some text " * 300), (2, "u", "t", None)], "doc_id long, url string, title string, markdown string")
+    html = "<html><body><article>" + "<p>Some text, and more of it.</p>" * 90 + "</article></body></html>"
+    pages = spark.createDataFrame([(1, "https://a.example/", html)], "page_id long, url string, html string")
+    for rows in (process_texts(docs), page_chunks(pages, PageJobParams())):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+        got = rows.select("content", "tokens", K.token_count("content").alias("want")).collect()
+        assert len(got) > 2 and all(r.tokens == r.want for r in got)
