@@ -101,26 +101,43 @@ def squeezed(text: Column | str) -> Column:
     return _replaced(col(text), rf"{WS}+", " ")
 
 
-def _at_end(t: Column, n: int, pattern: str, replacement: str) -> Column:
-    """A pattern that can only match within the last ``n`` characters, tried there alone."""
-    return F.concat(F.substring(t, F.lit(1), F.length(t) - n), F.regexp_replace(F.substring(t, -n, n), pattern, replacement))
+def _ends(t: Column, *ends: str) -> Column:
+    found = t.endswith(ends[0])
+    for e in ends[1:]:
+        found = found | t.endswith(e)
+    return found
+
+
+#: The last line end of a text, before which $ may stand.
+LINE_ENDS = ("\r\n", "\r", "\x85", "\u2028", "\u2029")
 
 
 def _without_edge_spaces(t: Column) -> Column:
-    start = F.when(t.startswith(" "), F.substring(t, F.lit(2), F.length(t))).otherwise(t)
-    # $ stands at the end or before one last line end, which is two characters at most
-    return let(start, lambda s: _at_end(s, 3, " $", ""))
+    start = (
+        F.when(t.startswith("  "), F.substring(t, F.lit(2), F.length(t)))
+        .when(t.startswith(" "), F.ltrim(t)).otherwise(t)
+    )
+
+    def end(s: Column) -> Column:
+        return (
+            F.when(s.endswith("  "), F.substring(s, F.lit(1), F.length(s) - 1))
+            .when(s.endswith(" "), F.rtrim(s))
+            .when(_ends(s, " \n", *(f" {e}" for e in LINE_ENDS)), F.regexp_replace(s, " $", "")).otherwise(s)
+        )
+
+    return let(start, end)
 
 
 def _one_last_newline(t: Column) -> Column:
-    # one newline becomes one newline; more of them reach the last line end
-    return F.when(F.substring(t, -4, 4).contains("\n\n"), F.regexp_replace(t, r"\n+$", "\n")).otherwise(t)
+    # one newline becomes one newline
+    several = _ends(t, "\n\n", *(f"\n\n{e}" for e in LINE_ENDS))
+    return F.when(several, F.regexp_replace(t, r"\n+$", "\n")).otherwise(t)
 
 
 def _without_last_space(t: Column) -> Column:
-    # These line ends are not among the characters; before one of them a run goes, too.
-    other_end = F.substring(t, -1, 1).isin("\x85", "\u2028", "\u2029")
-    return F.when(other_end, F.regexp_replace(t, r"[\t\r\n ]+$", "")).otherwise(F.rtrim(t, F.lit("\t\r\n ")))
+    # The last three line ends are not among the characters; before one of them a run goes, too.
+    cut = F.when(_ends(t, *LINE_ENDS[2:]), F.regexp_replace(t, r"[\t\r\n ]+$", ""))
+    return cut.when(_ends(t, "\t", "\r", "\n", " "), F.rtrim(t, F.lit("\t\r\n "))).otherwise(t)
 
 
 #: Steps on the ends of a text, which need not look at what is between.

@@ -23,6 +23,8 @@ TOKEN = (
     r"""|</?[a-z][^>=]*(?:=\s*"[^"]*"[^>=]*|=\s*'[^']*'[^>=]*|=\s*[^\s"'>=][^>=]*|=\s*)*+>"""
     r"|</?[a-z][^>]*>|<[/!?][^>]*>|[^<]+|<"
 )
+#: With an empty token where the page ends.
+TOKEN_OR_END = TOKEN + r"|\z"
 TAG_NAME = r"^</?([a-zA-Z][a-zA-Z0-9:\-]*)"
 
 # Fixed values of the HTML standard: elements without content, and removed elements.
@@ -68,9 +70,9 @@ def tokenize(
 
 
 def tags_with_text(tokens: Column) -> Column:
-    """An array of tokens as one of (pos, raw, text): each tag with the text after it, so that windows see half the rows.
+    """What ``TOKEN_OR_END`` finds, as (pos, raw, text): each tag with the text after it, so that windows see half the rows.
 
-    Text without a tag before it (at the start, after a stray "<") stands in ``raw`` by itself. An empty entry ends the page.
+    Text without a tag before it (at the start, after a stray "<") stands in ``raw`` by itself, as does the end.
     """
     def is_tag(raw: Column) -> Column:
         return raw.startswith("<") & (raw != "<")
@@ -78,16 +80,15 @@ def tags_with_text(tokens: Column) -> Column:
     def entry(raw: Column, i: Column) -> Column:
         after = F.get(tokens, i + 1)
         text = F.when(is_tag(raw) & ~after.startswith("<"), after).otherwise("")
-        return F.struct(i.alias("pos"), raw.alias("raw"), text.alias("text"), (~raw.startswith("<") & is_tag(F.get(tokens, i - 1))).alias("told"))
+        told = ~raw.startswith("<") & (raw != "") & is_tag(F.get(tokens, i - 1))
+        return F.struct(i.alias("pos"), raw.alias("raw"), text.alias("text"), told.alias("told"))
 
-    entries = F.filter(F.transform(tokens, entry), lambda e: ~F.coalesce(e["told"], F.lit(False)))
-    last = F.struct(F.size(tokens).alias("pos"), F.lit("").alias("raw"), F.lit("").alias("text"), F.lit(False).alias("told"))
-    return F.concat(entries, F.array(last))
+    return F.filter(F.transform(tokens, entry), lambda e: ~F.coalesce(e["told"], F.lit(False)))
 
 
 def tokenize_tags(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
     """As :func:`tokenize`, one row for a tag and the text after it: (key, pos, raw, text, tag, kind)."""
-    found = pages.select(key, F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0)).alias("_tokens"))
+    found = pages.select(key, F.regexp_extract_all(html, F.lit(TOKEN_OR_END), F.lit(0)).alias("_tokens"))
     exploded = found.select(key, F.explode_outer(tags_with_text(F.col("_tokens"))).alias("e"))
     rows = exploded.select(
         key, F.coalesce("e.pos", F.lit(0)).alias("pos"),

@@ -18,7 +18,7 @@ from ..functions import urls as U
 from ..functions.core import NEEDED, is_blank, let, replace_all
 from ..session import cut_lineage_in_layout
 from .content import BLOCK_TAGS
-from .html_tokens import NOISE_TAGS, TOKEN, pair_tags, tags_with_text, tokenize_tags
+from .html_tokens import NOISE_TAGS, TOKEN_OR_END, pair_tags, tags_with_text, tokenize_tags
 
 # Control characters stand for structure until the last step; they are not legal in
 # HTML text and are removed from it first.
@@ -278,7 +278,7 @@ def render_markdown(content: DataFrame, html: str = "content_html", preserve_cod
     # Both are read twice: for what stands around, and for the text.
     prepared = cut_lineage_in_layout(content.withColumn("_prepared", M.preprocess_html(html, preserve_code)))
     flags = token_flags(prepared.select("page_id", "_prepared"), "_prepared").hint("shuffle_hash")
-    tokens = F.regexp_extract_all("_prepared", F.lit(TOKEN), F.lit(0))
+    tokens = F.regexp_extract_all("_prepared", F.lit(TOKEN_OR_END), F.lit(0))
     drawn = prepared.join(flags, "page_id", "left").withColumn("_tokens", tokens)
 
     def drawn_tag(e: Column, f: Column) -> Column:
